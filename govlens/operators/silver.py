@@ -193,9 +193,16 @@ def build_silver(bronze: DataFrame, rubric: Rubric | None = None, synonyms=None,
     Rows with a NULL key form one group, but the partial aggregation reduces it
     to one row per input partition before the shuffle, so it is never hot.
     """
+    return silver_from_prepared(prepare(bronze, synonyms), rubric, rules)
+
+
+def silver_from_prepared(prepared: DataFrame, rubric: Rubric | None = None,
+                         rules=EXPECTATIONS) -> DataFrame:
+    """Keep-best dedup, expectations and rubric over prepared rows (or over
+    earlier keep-best outputs: the dedup is associative, so re-deduplicating
+    partial results gives the same survivors)."""
     rubric = rubric or production_rubric()
-    deduped = dedup_best(prepare(bronze, synonyms))
-    valid = deduped.filter(_output_rules(rules, "column_id"))
+    valid = dedup_best(prepared).filter(_output_rules(rules, "column_id"))
     return certify(evaluate_rubric(valid, rubric), rubric)
 
 

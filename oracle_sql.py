@@ -297,7 +297,7 @@ def _sql_queries() -> dict[str, str]:
     s: dict[str, str] = {}
     s["raw_scan"] = "SELECT * FROM raw"
     s["null_tokens"] = "SELECT * FROM bronze"
-    s["typed_flags"] = ("SELECT column_id AS source_column_id, pii_flag, critical_data_element_flag, "
+    s["typed_flags"] = ("SELECT source_column_id, pii_flag, critical_data_element_flag, "
                         "total_record_count, invalid_record_count FROM typed")
     s["standardized"] = "SELECT * FROM typed"
     s["surrogate_keys"] = ("SELECT source_column_id, database_id, schema_id, table_id, column_id "
