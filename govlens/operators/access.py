@@ -39,7 +39,8 @@ def distinct_tables(silver: DataFrame) -> DataFrame:
 
 
 def _with_defaults(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULT_POLICY.items()})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULT_POLICY.items()
+                           if c in df.columns})
 
 
 def asset_access_policy(silver: DataFrame, regions: DataFrame,

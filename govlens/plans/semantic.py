@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from govlens.functions.exact import finish, half_up_div
 from govlens.functions.labels import asset_location, health_band, maturity_tier
 from govlens.plans.hints import bounded_broadcast
 
@@ -177,10 +178,16 @@ def q_dq_issues(gold: Gold) -> DataFrame:
             .orderBy(F.col("dq_invalid_pct").desc()))
 
 
-def q_completeness_by_table(gold: Gold) -> DataFrame:
-    return (gold["profile"].groupBy("table_name")
-            .agg(F.round(F.avg("completeness_pct"), 2).alias("avg_completeness_pct"))
-            .orderBy(F.col("avg_completeness_pct").desc()))
+def q_completeness_by_table(gold: Gold, checks_total: int = 11) -> DataFrame:
+    """Average completeness per table name, rounded exactly (completeness is
+    checks passed / checks total, so the average is a ratio of integer sums)."""
+    p = gold["profile"].withColumn(
+        "__passed", F.round(F.col("completeness_pct") * F.lit(checks_total) / 100).cast("bigint"))
+    agg = p.groupBy("table_name").agg(F.sum("__passed").alias("s"), F.count("__passed").alias("n"))
+    val = (half_up_div(F.col("s") * 10000, F.col("n") * checks_total) / 100).alias(
+        "avg_completeness_pct")
+    return finish(agg, [val], ["table_name", "avg_completeness_pct"]).orderBy(
+        F.col("avg_completeness_pct").desc())
 
 
 def q_kpis(gold: Gold) -> DataFrame:

@@ -33,6 +33,20 @@ def spct(num: str, den: str, d: int = 1) -> str:
     return sround(f"CASE WHEN ({den}) = 0 THEN NULL ELSE ({num}) / ({den}) END * 100", d)
 
 
+def xavg(col: str, scale: int, digits: int) -> str:
+    """Exact half-up round(avg(col), digits) for values with ``scale`` decimals."""
+    S = f"sum(CAST(round(({col}) * {10 ** scale}) AS BIGINT)) * {10 ** (digits - scale)}"
+    n = f"count({col})"
+    return (f"CASE WHEN {n} > 0 THEN sign({S}) * ((2 * abs({S}) + {n}) // (2 * {n})) "
+            f"/ {float(10 ** digits)} END")
+
+
+def xavg_completeness(digits: int) -> str:
+    S = f"sum(checks_passed) * {100 * 10 ** digits}"
+    d = "(count(checks_passed) * 11)"
+    return f"CASE WHEN {d} > 0 THEN ((2 * {S} + {d}) // (2 * {d})) / {float(10 ** digits)} END"
+
+
 def to_bool(c: str) -> str:
     t = f"lower(trim({c}, {WS}))"
     return (f"CASE WHEN {t} IN ('t','true','y','yes','1') THEN TRUE "
@@ -186,9 +200,9 @@ scores AS (SELECT *,
 FROM silver),
 table_governance AS (SELECT system_name, database_name, schema_name, table_id, table_name, table_desc, data_steward,
   count(DISTINCT column_id) AS column_count,
-  {sround('avg(overall_governance_score)', 2)} AS table_governance_score,
-  {sround('avg(documentation_score)', 2)} AS avg_documentation_score,
-  {sround('avg(quality_score)', 2)} AS avg_quality_score,
+  {xavg('overall_governance_score', 2, 2)} AS table_governance_score,
+  {xavg('documentation_score', 2, 2)} AS avg_documentation_score,
+  {xavg('quality_score', 2, 2)} AS avg_quality_score,
   CAST(sum(CAST(pii_flag AS INTEGER)) AS BIGINT) AS pii_column_count,
   CAST(sum(CAST(critical_data_element_flag AS INTEGER)) AS BIGINT) AS critical_column_count
 FROM scores GROUP BY ALL),
@@ -206,7 +220,7 @@ dlt_summary AS (SELECT count(*) AS silver_valid_rows,
 FROM silver),
 kpi_base AS (SELECT count(*) AS total_columns, count(DISTINCT table_id) AS total_tables,
   count(DISTINCT schema_id) AS total_schemas, count(DISTINCT database_id) AS total_databases,
-  {sround('avg(completeness_pct)', 2)} AS avg_completeness_pct,
+  {xavg_completeness(2)} AS avg_completeness_pct,
   {sround('avg(dq_invalid_pct)', 2)} AS avg_dq_invalid_pct,
   CAST(sum(CAST(pii_flag AS INTEGER)) AS BIGINT) AS pii_columns,
   CAST(sum(CAST(critical_data_element_flag AS INTEGER)) AS BIGINT) AS critical_columns,
@@ -236,7 +250,7 @@ FROM (SELECT coalesce(security_classification, 'Unclassified') AS classification
   FROM silver GROUP BY 1)),
 domain_summary AS (SELECT *, {spct('certified_columns', 'column_count')} AS certified_pct
 FROM (SELECT {_domain} AS domain, count(*) AS column_count, count(DISTINCT table_id) AS table_count,
-  {sround('avg(overall_governance_score)', 2)} AS avg_governance_score, {_levels_sum()}
+  {xavg('overall_governance_score', 2, 2)} AS avg_governance_score, {_levels_sum()}
   FROM scores GROUP BY 1)),
 per_table AS (SELECT system_name, database_id, schema_id, table_id, database_name, schema_name, table_name,
   count(DISTINCT column_id) AS column_count FROM silver GROUP BY ALL),
@@ -245,7 +259,7 @@ modal AS (SELECT column_count FROM per_table GROUP BY column_count
 structural_consistency AS ({_structural(None)}),
 structural_summary AS (SELECT *, {spct('compliant_tables', 'total_tables')} AS structural_consistency_pct
 FROM (SELECT count(*) AS total_tables, max(standard_column_count) AS standard_column_count,
-  {sround('avg(column_count)', 1)} AS avg_columns_per_table,
+  {xavg('column_count', 0, 1)} AS avg_columns_per_table,
   CAST(sum(CASE WHEN NOT is_outlier THEN 1 ELSE 0 END) AS BIGINT) AS compliant_tables,
   CAST(sum(CASE WHEN is_outlier THEN 1 ELSE 0 END) AS BIGINT) AS outlier_tables
   FROM structural_consistency)),
@@ -477,8 +491,8 @@ def _more_sql() -> dict[str, str]:
                        "GROUP BY data_steward ORDER BY asset_count DESC")
     s["q_dq_issues"] = ("SELECT table_name, column_name, dq_invalid_pct FROM profile WHERE dq_invalid_pct > 5 "
                         "ORDER BY dq_invalid_pct DESC")
-    s["q_completeness_by_table"] = (f"SELECT table_name, {sround('avg(completeness_pct)', 2)} AS avg_completeness_pct "
-                                    f"FROM profile GROUP BY table_name ORDER BY avg_completeness_pct DESC")
+    s["q_completeness_by_table"] = (f"SELECT table_name, {xavg_completeness(2)} AS avg_completeness_pct "
+                                    f"FROM silver GROUP BY table_name ORDER BY avg_completeness_pct DESC")
     s["q_kpis"] = "SELECT * FROM kpi_summary"
     s["q_validation"] = "SELECT * FROM dlt_summary"
     s["q_owners"] = "SELECT table_name, data_steward FROM profile WHERE data_steward IS NOT NULL"
