@@ -103,3 +103,17 @@ def access_for(policy: DataFrame, regions: DataFrame, users: DataFrame,
     if user_email is not None:
         users = users.filter(F.col("user_email") == user_email)
     return asset_access_check(policy, regions, users)
+
+
+def region_rules_in_use(silver: DataFrame, regions: DataFrame) -> DataFrame:
+    """Region rules whose database occurs in the catalog (a semi join against the
+    distinct database names, which a partial aggregation keeps small)."""
+    dbs = silver.select("database_name").distinct()
+    return regions.join(dbs, "database_name", "left_semi")
+
+
+def user_access_summary(check: DataFrame) -> DataFrame:
+    """Per user: how many tables they may and may not access."""
+    return check.groupBy("user_email", "user_region", "user_access_group").agg(
+        F.count_if(F.col("access_decision") == ELIGIBLE).alias("eligible_tables"),
+        F.count_if(F.col("access_decision") == NOT_ELIGIBLE).alias("restricted_tables"))

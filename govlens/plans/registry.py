@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from govlens.functions.labels import asset_location, gap_severity, health_band, maturity_tier
 from govlens.functions.rubric import production_rubric
+from govlens.operators import access as A
 from govlens.operators import alerts as AL
 from govlens.operators import gaps as G
 from govlens.operators import silver as S
@@ -82,8 +83,13 @@ QUERIES: dict[str, Query] = {
     **{n: _gold_table(n) for n in (
         "scores_pre", "table_governance", "table_structure", "profile", "dlt_summary",
         "kpi_summary", "cert_level_summary", "pii_classification_summary", "domain_summary",
-        "structural_consistency", "structural_summary", "governance_gaps", "region_assignment",
-        "user_profile", "asset_access_policy", "asset_access_check")},
+        "structural_consistency", "structural_summary", "governance_gaps",
+        "asset_access_policy", "asset_access_check")},
+    # reference dimensions, as used by the catalog
+    "region_assignment": lambda spark, sf: A.region_rules_in_use(
+        _silver(spark, sf), gold_for(spark, sf)["region_assignment"]),
+    "user_access_summary": lambda spark, sf: A.user_access_summary(
+        gold_for(spark, sf)["asset_access_check"]),
     "modal_standard": lambda spark, sf: ST.modal_standard(ST.table_column_counts(_silver(spark, sf))),
     "structural_override": lambda spark, sf: ST.structural_consistency(_silver(spark, sf), standard=8),
     # gaps and checklists

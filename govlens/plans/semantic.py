@@ -256,9 +256,11 @@ def q_structural_rate(gold: Gold) -> DataFrame:
 
 
 def q_why_restricted(gold: Gold, database_name: str = "crm") -> DataFrame:
-    return (gold["region_assignment"].filter(F.col("database_name") == database_name)
+    """The policy a catalogued database's tables carry (also answers for
+    databases on the default policy)."""
+    return (gold["asset_access_policy"].filter(F.col("database_name") == database_name)
             .select("database_name", "asset_region", "required_access_group", "allowed_region",
-                    "policy_rationale"))
+                    "policy_rationale").distinct())
 
 
 def q_glossary(gold: Gold) -> DataFrame:

@@ -335,8 +335,14 @@ def _sql_queries() -> dict[str, str]:
     for t in ("scores_pre", "table_governance", "table_structure", "profile", "dlt_summary",
               "kpi_summary", "cert_level_summary", "pii_classification_summary", "domain_summary",
               "structural_consistency", "structural_summary", "governance_gaps",
-              "region_assignment", "user_profile", "asset_access_policy", "asset_access_check"):
+              "asset_access_policy", "asset_access_check"):
         s[t] = f"SELECT * FROM {'scores' if t == 'scores_pre' else t}"
+    s["region_assignment"] = ("SELECT * FROM region_assignment WHERE database_name IN "
+                              "(SELECT database_name FROM silver)")
+    s["user_access_summary"] = ("SELECT user_email, user_region, user_access_group, "
+                                "count_if(access_decision = 'Eligible') AS eligible_tables, "
+                                "count_if(access_decision = 'Not Eligible') AS restricted_tables "
+                                "FROM asset_access_check GROUP BY ALL")
     s["modal_standard"] = "SELECT column_count AS standard_column_count FROM modal"
     s["structural_override"] = "SELECT * FROM (" + _structural("8") + ")"
     s.update(_more_sql())
@@ -512,8 +518,8 @@ def _more_sql() -> dict[str, str]:
                                 "corrective_action FROM structural_consistency WHERE is_outlier = TRUE ORDER BY table_name")
     s["q_structural_rate"] = ("SELECT total_tables, compliant_tables, outlier_tables, structural_consistency_pct, "
                               "standard_column_count FROM structural_summary")
-    s["q_why_restricted"] = ("SELECT database_name, asset_region, required_access_group, allowed_region, "
-                             "policy_rationale FROM region_assignment WHERE database_name = 'crm'")
+    s["q_why_restricted"] = ("SELECT DISTINCT database_name, asset_region, required_access_group, allowed_region, "
+                             "policy_rationale FROM asset_access_policy WHERE database_name = 'crm'")
     s["q_glossary"] = ("SELECT term_name, term_description, term_subdomain, count(*) AS linked_columns, "
                        "count(DISTINCT (system_name, database_name, schema_name, table_name)) AS linked_tables "
                        "FROM profile WHERE term_name IS NOT NULL GROUP BY ALL")

@@ -78,7 +78,7 @@ def _structural_fixture(spark, counts):
 
 def test_modal_tie_goes_to_smallest(spark):
     s = _structural_fixture(spark, {"a": 5, "b": 5, "c": 8, "d": 8, "e": 12})
-    sc = structural.structural_consistency(s)
+    sc = structure.structural_consistency(s)
     assert {r["standard_column_count"] for r in sc.collect()} == {5}
     r = {x["table_name"]: x for x in sc.collect()}
     assert r["a"]["lower_bound"] == 4.0 and r["a"]["upper_bound"] == 7.0
@@ -88,7 +88,7 @@ def test_modal_tie_goes_to_smallest(spark):
 
 def test_bounds_are_inclusive_and_override(spark):
     s = _structural_fixture(spark, {"a": 10, "b": 7, "c": 13, "d": 6, "e": 14})
-    sc = {r["table_name"]: r for r in structural.structural_consistency(s, standard=10).collect()}
+    sc = {r["table_name"]: r for r in structure.structural_consistency(s, standard=10).collect()}
     assert sc["b"]["structural_status"] == "Compliant" and sc["c"]["structural_status"] == "Compliant"
     assert sc["d"]["structural_status"] == "Outlier: too few columns"
     assert sc["e"]["structural_status"] == "Outlier: too many columns"
