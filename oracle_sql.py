@@ -619,11 +619,10 @@ def _more_sql() -> dict[str, str]:
         "FROM (SELECT count(*) AS total, count_if(feedback = 'helpful') AS helpful, "
         "count_if(feedback = 'not_helpful') AS not_helpful, coalesce(sum(response_time_s), 0.0) AS rt FROM query_log)")
     clicks = (
-        f"SELECT conv_id * 1000 + target_turn AS id, CASE WHEN (conv_id + turn) % 2 = 0 THEN 'helpful' "
-        f"ELSE 'not_helpful' END AS feedback, {TS_BASE} + conv_id * 60 + turn AS click_ts FROM ("
-        f"SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn "
-        f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target_turn FROM conversations) "
-        f"WHERE role <> 'user' AND target_turn IS NOT NULL")
+        f"SELECT o.conv_id * 1000 + u.turn AS id, CASE WHEN (o.conv_id + o.turn) % 2 = 0 THEN 'helpful' "
+        f"ELSE 'not_helpful' END AS feedback, {TS_BASE} + o.conv_id * 60 + o.turn AS click_ts "
+        f"FROM conversations o JOIN conversations u ON o.conv_id = u.conv_id "
+        f"AND o.turn - u.turn IN (1, 2) WHERE o.role <> 'user' AND u.role = 'user'")
     s["feedback_latest"] = (
         f"SELECT l.id, l.question, l.answer, coalesce(c.feedback, l.feedback) AS feedback, l.ts, "
         f"l.response_time_s, l.version FROM query_log l LEFT JOIN (SELECT id, feedback FROM ({clicks}) "
