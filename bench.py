@@ -29,13 +29,14 @@ def main() -> None:
              .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
              .config("spark.driver.memory", "16g")
+             .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
 
     from govlens.operators.silver import build_silver
     from govlens.plans import semantic as SEM
     from govlens.plans.hints import ensure_checkpoint_dir
-    from govlens.plans.pipeline import GOLD_TABLES, gold_tables
+    from govlens.plans.pipeline import GOLD_TABLES, gold_tables, write_bucketed
     from govlens.sources import reference as R
     from govlens.sources.raw import bronze_from_lineitem
 
@@ -56,9 +57,10 @@ def main() -> None:
     warm.write.format("noop").mode("overwrite").save()
 
     t0 = time.time()
-    timed("raw_to_silver", lambda: build_silver(bronze_from_lineitem(spark, sf_dir))
-          .write.mode("overwrite").parquet(f"{out}/silver"))
-    silver = spark.read.parquet(f"{out}/silver")
+    buckets = cpus * 2
+    timed("raw_to_silver", lambda: write_bucketed(
+        build_silver(bronze_from_lineitem(spark, sf_dir)), "silver", buckets=buckets))
+    silver = spark.table("silver")
     gold = gold_tables(silver, R.region_assignment(spark), R.user_profile(spark))
     for name in GOLD_TABLES:
         timed(name, lambda n=name: gold[n].write.mode("overwrite").parquet(f"{out}/{n}"))

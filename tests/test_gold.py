@@ -142,3 +142,17 @@ def test_check_results_long_form(spark):
     failed = [r for r in cr if not r["passed"]]
     assert [r["check_id"] for r in failed] == ["CHK-08"]
     assert failed[0]["severity"] == "critical" and failed[0]["fail_message"].startswith("pii_flag")
+
+
+def test_bucketed_silver_avoids_exchange(spark, gold, tmp_path):
+    from govlens.plans.pipeline import gold_tables, write_bucketed
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        s = write_bucketed(gold.silver, "silver_bucketed_test", buckets=4)
+        g = gold_tables(s, reference.region_assignment(spark), reference.user_profile(spark))
+        plan = g["cert_level_summary"]._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        assert g["cert_level_summary"].count() == gold["cert_level_summary"].count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
