@@ -103,6 +103,28 @@ def write_bucketed(df: DataFrame, table: str, key: str = "table_id", buckets: in
     return df.sparkSession.table(table)
 
 
+def write_gold(gold: Gold, out_dir: str, tables=GOLD_TABLES, parallelism: int = 4,
+               on_done=None) -> dict[str, DataFrame]:
+    """Write gold tables as Parquet, several jobs at a time.
+
+    The tables are independent jobs over the same silver; submitting them from
+    a few threads lets small jobs share the cluster instead of queueing (use
+    the FAIR scheduler for even sharing). ``on_done(name, seconds)`` reports
+    per-table times."""
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(name: str) -> tuple[str, DataFrame]:
+        t = time.time()
+        df = write_table(gold[name], f"{out_dir}/{name}")
+        if on_done:
+            on_done(name, time.time() - t)
+        return name, df
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return dict(pool.map(one, tables))
+
+
 def run_pipeline(spark: SparkSession, bronze: DataFrame, out_dir: str,
                  rubric: Rubric | None = None, regions: DataFrame | None = None,
                  users: DataFrame | None = None, tables=GOLD_TABLES,
@@ -117,6 +139,5 @@ def run_pipeline(spark: SparkSession, bronze: DataFrame, out_dir: str,
     gold = gold_tables(silver, regions if regions is not None else reference.region_assignment(spark),
                        users if users is not None else reference.user_profile(spark))
     written = {"silver": silver}
-    for name in tables:
-        written[name] = write_table(gold[name], f"{out_dir}/{name}")
+    written.update(write_gold(gold, out_dir, tables))
     return written
