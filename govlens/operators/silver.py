@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from govlens.functions.rubric import (
     Rubric, check_expression, level_expression, production_rubric, require_fields,
 )
-from govlens.functions.text import blank_to_null, path_key, surrogate_id
+from govlens.functions.text import KEY_SEPARATOR, blank_to_null, norm, surrogate_id
 
 BOOLEAN_COLUMNS = ("pii_flag", "critical_data_element_flag")
 COUNT_COLUMNS = ("total_record_count", "invalid_record_count")
@@ -84,10 +84,23 @@ def standardize(df: DataFrame, synonyms=None, initcap_columns=INITCAP_COLUMNS) -
 
 
 def rebuild_keys(df: DataFrame, levels=None) -> DataFrame:
-    """Keep source ids as ``source_*_id``; rebuild ids from the normalised name path."""
+    """Keep source ids as ``source_*_id``; rebuild ids from the normalised name path.
+
+    Each name part is normalised once (a helper column) and shared by the four
+    path keys, instead of once per key."""
     levels = KEY_LEVELS if levels is None else levels
     renamed = df.withColumnsRenamed({k: f"source_{k}" for k in levels if k in df.columns})
-    return renamed.withColumns({k: surrogate_id(path_key(*parts)) for k, parts in levels.items()})
+    parts = sorted({p for ps in levels.values() for p in ps})
+    normed = renamed.withColumns({f"__norm_{p}": norm(p) for p in parts})
+    keys = {}
+    for k, ps in levels.items():
+        pieces = []
+        for i, p in enumerate(ps):
+            if i:
+                pieces.append(F.lit(KEY_SEPARATOR))
+            pieces.append(F.col(f"__norm_{p}"))
+        keys[k] = surrogate_id(F.concat(*pieces))
+    return normed.withColumns(keys).drop(*[f"__norm_{p}" for p in parts])
 
 
 def _rule(cond: str) -> Column:
@@ -185,6 +198,11 @@ def _output_rules(rules, key: str) -> Column:
     return cond
 
 
+def expected_rows(prepared: DataFrame, rules=EXPECTATIONS) -> DataFrame:
+    """Keep-best rows that pass the hard expectations (silver before the rubric)."""
+    return dedup_best(prepared).filter(_output_rules(rules, "column_id"))
+
+
 def build_silver(bronze: DataFrame, rubric: Rubric | None = None, synonyms=None,
                  rules=EXPECTATIONS) -> DataFrame:
     """Bronze rows -> silver (one row per system.db.schema.table.column).
@@ -202,8 +220,7 @@ def silver_from_prepared(prepared: DataFrame, rubric: Rubric | None = None,
     earlier keep-best outputs: the dedup is associative, so re-deduplicating
     partial results gives the same survivors)."""
     rubric = rubric or production_rubric()
-    valid = dedup_best(prepared).filter(_output_rules(rules, "column_id"))
-    return certify(evaluate_rubric(valid, rubric), rubric)
+    return certify(evaluate_rubric(expected_rows(prepared, rules), rubric), rubric)
 
 
 def quarantine(bronze: DataFrame, synonyms=None, rules=EXPECTATIONS) -> DataFrame:

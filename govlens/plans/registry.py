@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govlens.functions.labels import asset_location, gap_severity, health_band, maturity_tier
-from govlens.functions.rubric import production_rubric
+from govlens.functions.rubric import check_expression, production_rubric
 from govlens.operators import access as A
 from govlens.operators import alerts as AL
 from govlens.operators import gaps as G
@@ -27,6 +27,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _GOLD: dict[tuple[int, str], Gold] = {}
 
+# One production check per rule kind, compiled on its own over the valid rows.
+RULE_EXAMPLES = {"not_null": "CHK-06", "not_null_all": "CHK-11", "allowed_values": "CHK-07",
+                 "ratio": "CHK-09"}
+
 
 def set_gold(spark: SparkSession, sf_dir: str, gold: Gold) -> None:
     """Register gold plans for (spark, sf_dir), e.g. over a materialized silver."""
@@ -78,6 +82,16 @@ QUERIES: dict[str, Query] = {
     "achieved_cert_level": lambda spark, sf: _silver(spark, sf).select(
         "column_id", "achieved_cert_level"),
     "check_results": lambda spark, sf: G.check_results(_silver(spark, sf)),
+    "typed_counts": lambda spark, sf: S.cast_types(bronze_from_lineitem(spark, sf)).select(
+        F.col("column_id").alias("source_column_id"), "total_record_count", "invalid_record_count"),
+    "normalized_strings": lambda spark, sf: _no_audit(S.normalize_strings(
+        S.cast_types(bronze_from_lineitem(spark, sf)))),
+    "silver_valid": lambda spark, sf: _no_audit(S.expected_rows(_prepared(spark, sf))),
+    "rubric_checks": lambda spark, sf: _silver(spark, sf).select(
+        "column_id", *production_rubric().check_columns),
+    **{f"rule_{rule}": (lambda cid: lambda spark, sf: S.expected_rows(_prepared(spark, sf)).select(
+        "column_id", check_expression(production_rubric().by_id()[cid]).alias("passed")))(cid)
+       for rule, cid in RULE_EXAMPLES.items()},
     "gates_to_next_level": lambda spark, sf: G.gates_to_next_level(_silver(spark, sf)),
     # gold tables
     **{n: _gold_table(n) for n in (

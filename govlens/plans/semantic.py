@@ -36,10 +36,23 @@ def _count_when(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
+def _avg_cents(col: str) -> Column:
+    """Average of a 2-decimal column from its integer sum of cents (independent
+    of summation order)."""
+    c = F.col(col)
+    return F.sum(F.round(c * 100).cast("bigint")) / F.count(c) / 100
+
+
+def _avg_completeness(checks_total: int = 11) -> Column:
+    """Average completeness from the integer count of passed checks."""
+    passed = F.round(F.col("completeness_pct") * checks_total / 100).cast("bigint")
+    return F.sum(passed) * 100 / (F.count("completeness_pct") * checks_total)
+
+
 # name -> (gold table, aggregate)
 MEASURES: dict[str, tuple[str, Callable[[], Column]]] = {
-    "governance_score": ("table_governance", lambda: F.avg("table_governance_score")),
-    "completeness": ("profile", lambda: F.avg("completeness_pct")),
+    "governance_score": ("table_governance", lambda: _avg_cents("table_governance_score")),
+    "completeness": ("profile", lambda: _avg_completeness()),
     "quality": ("profile", lambda: F.avg(100 - F.col("dq_invalid_pct"))),
     "gap_count": ("governance_gaps", lambda: F.count("column_id")),
     "registered": ("profile", lambda: _count_when(F.col("achieved_cert_level") == "Registered")),

@@ -343,6 +343,24 @@ def _sql_queries() -> dict[str, str]:
                                 "count_if(access_decision = 'Eligible') AS eligible_tables, "
                                 "count_if(access_decision = 'Not Eligible') AS restricted_tables "
                                 "FROM asset_access_check GROUP BY ALL")
+    s["typed_counts"] = "SELECT source_column_id, total_record_count, invalid_record_count FROM typed"
+    casts = []
+    for c in BRONZE_COLS:
+        if c in ("pii_flag", "critical_data_element_flag"):
+            casts.append(f"{to_bool(c)} AS {c}")
+        elif c in ("total_record_count", "invalid_record_count"):
+            casts.append(f"TRY_CAST(trunc(TRY_CAST({c} AS DOUBLE)) AS BIGINT) AS {c}")
+        else:
+            casts.append(c)
+    s["normalized_strings"] = "SELECT " + ", ".join(casts) + " FROM bronze"
+    s["silver_valid"] = "SELECT * FROM dedup"
+    s["rubric_checks"] = "SELECT column_id, " + ", ".join(c for c, _ in CHECKS) + " FROM silver"
+    rule_sql = {"not_null": "data_steward IS NOT NULL",
+                "not_null_all": dict(CHECKS)["check_domain_tag_present"],
+                "allowed_values": dict(CHECKS)["check_security_classification_present"],
+                "ratio": dict(CHECKS)["check_invalid_record_ratio_within_threshold"]}
+    for r, e in rule_sql.items():
+        s[f"rule_{r}"] = f"SELECT column_id, ({e}) AS passed FROM dedup"
     s["modal_standard"] = "SELECT column_count AS standard_column_count FROM modal"
     s["structural_override"] = "SELECT * FROM (" + _structural("8") + ")"
     s.update(_more_sql())
@@ -448,8 +466,8 @@ def _more_sql() -> dict[str, str]:
     for n, (t, w) in filters.items():
         s[f"filter_{n}"] = f"SELECT * FROM {t} WHERE {w}"
     measures = {
-        "governance_score": ("table_governance", "avg(table_governance_score)"),
-        "completeness": ("profile", "avg(completeness_pct)"),
+        "governance_score": ("table_governance", "CAST(sum(CAST(round(table_governance_score * 100) AS BIGINT)) AS BIGINT) / count(table_governance_score) / 100"),
+        "completeness": ("silver", "CAST(sum(checks_passed) AS BIGINT) * 100 / (count(checks_passed) * 11)"),
         "quality": ("profile", "avg(100 - dq_invalid_pct)"),
         "gap_count": ("governance_gaps", "count(column_id)"),
         "registered": ("profile", "count(CASE WHEN achieved_cert_level = 'Registered' THEN 1 END)"),
