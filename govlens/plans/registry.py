@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +39,13 @@ def set_gold(spark: SparkSession, sf_dir: str, gold: Gold) -> None:
 
 
 def gold_for(spark: SparkSession, sf_dir: str) -> Gold:
+    """Gold plans over one silver per (session, sf_dir). Silver is persisted
+    (memory and disk) so the registered queries share one computation; a lost
+    cached block is recomputed from its lineage."""
     k = (id(spark), sf_dir)
     if k not in _GOLD:
         silver = S.build_silver(bronze_from_lineitem(spark, sf_dir), production_rubric())
+        silver = silver.persist(StorageLevel.MEMORY_AND_DISK)
         _GOLD[k] = gold_tables(silver, R.region_assignment(spark), R.user_profile(spark))
     return _GOLD[k]
 
