@@ -48,3 +48,23 @@ def test_normalize_row_all_columns(spark):
     assert out["column_desc"] is None and out["data_steward"] is None and out["term_name"] is None
     assert out["tag_value"] == "CRM"
     assert out["location"] is None
+
+
+def test_csv_scan_by_header_name(spark, tmp_path):
+    """Columns bind by header name (any order, extras dropped); a missing one fails."""
+    from govlens.sources.raw import MissingColumnsError, RAW_COLUMNS, read_raw_csv
+
+    cols = list(reversed(RAW_COLUMNS)) + ["extra"]
+    row = {c: f"v_{c}" for c in cols}
+    row["column_desc"] = "  N/A "
+    row["pii_flag"] = ""
+    lines = [",".join(cols), ",".join(row[c] for c in cols)]
+    p = tmp_path / "raw.csv"
+    p.write_text("\n".join(lines) + "\n")
+    r = read_raw_csv(spark, str(p)).first().asDict()
+    assert r["column_id"] == "v_column_id" and r["column_desc"] is None and r["pii_flag"] is None
+    assert "extra" not in r and r["_source_file"].endswith("raw.csv")
+    q = tmp_path / "bad.csv"
+    q.write_text("column_id,column_name\na,b\n")
+    with pytest.raises(MissingColumnsError):
+        read_raw_csv(spark, str(q))
