@@ -156,3 +156,11 @@ def test_bucketed_silver_avoids_exchange(spark, gold, tmp_path):
         assert g["cert_level_summary"].count() == gold["cert_level_summary"].count()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_kpi_approx_close_to_exact(gold):
+    exact = rollups.kpi_summary(gold.silver).first()
+    approx = rollups.kpi_summary(gold.silver, approx=True).first()
+    for c in ("total_tables", "total_schemas", "total_databases"):
+        assert abs(approx[c] - exact[c]) <= max(2, 0.05 * exact[c])
+    assert approx["total_columns"] == exact["total_columns"]
