@@ -164,3 +164,15 @@ def test_kpi_approx_close_to_exact(gold):
     for c in ("total_tables", "total_schemas", "total_databases"):
         assert abs(approx[c] - exact[c]) <= max(2, 0.05 * exact[c])
     assert approx["total_columns"] == exact["total_columns"]
+
+
+def test_run_pipeline_writes_all_tables(spark, tmp_path):
+    from govlens.plans.pipeline import GOLD_TABLES, run_pipeline
+    from govlens.sources.raw import bronze_from_lineitem
+
+    out = run_pipeline(spark, bronze_from_lineitem(spark, SF_SMALL), str(tmp_path),
+                       silver_table="silver_pipeline_test", buckets=4)
+    assert set(out) == {"silver", *GOLD_TABLES}
+    assert out["silver"].count() == 1718
+    assert out["kpi_summary"].first()["total_columns"] == 1718
+    assert out["asset_access_check"].count() == out["asset_access_policy"].count() * 9
