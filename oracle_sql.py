@@ -300,9 +300,6 @@ query_log AS (SELECT c.conv_id * 1000 + c.turn AS id, c.text AS question, n.text
   WHERE c.role = 'user')
 """
 
-AUDIT_EXCLUDED = "EXCLUDE (_ingestion_timestamp, _source_file)"
-
-
 def with_base(select: str) -> str:
     return "WITH " + BASE.strip() + "\n" + select
 
@@ -652,9 +649,5 @@ SQL = _sql_queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {}
-    for k, v in SQL.items():
-        if k in ("scores_pre", "silver", "dedup_best", "quarantine", "standardized", "null_tokens"):
-            pass
-        out[k] = with_base(v)
-    return out
+    """Full SQL text (shared CTE chain + final SELECT) per query key."""
+    return {k: with_base(v) for k, v in SQL.items()}
