@@ -30,7 +30,6 @@ def main() -> None:
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
              .config("spark.driver.memory", "16g")
              .config("spark.scheduler.mode", "FAIR")
-             .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
 
@@ -59,9 +58,11 @@ def main() -> None:
 
     t0 = time.time()
     buckets = cpus * 2
+    table = f"bench_silver_{int(time.time())}"
     timed("raw_to_silver", lambda: write_bucketed(
-        build_silver(bronze_from_lineitem(spark, sf_dir)), "silver", buckets=buckets))
-    silver = spark.table("silver")
+        build_silver(bronze_from_lineitem(spark, sf_dir)), table, buckets=buckets,
+        path=f"{out}/silver"))
+    silver = spark.table(table)
     gold = gold_tables(silver, R.region_assignment(spark), R.user_profile(spark))
     timed("silver_to_gold", lambda: write_gold(
         gold, out, GOLD_TABLES, parallelism=4,

@@ -92,14 +92,18 @@ def write_table(df: DataFrame, path: str, partitions: int | None = None) -> Data
     return df.sparkSession.read.parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str = "table_id", buckets: int = 64) -> DataFrame:
+def write_bucketed(df: DataFrame, table: str, key: str = "table_id", buckets: int = 64,
+                   path: str | None = None) -> DataFrame:
     """Save ``df`` as a catalog table bucketed (and sorted) by ``key`` and return it.
 
     One shuffle at write time (one file per bucket); every later aggregation or
     join whose keys include ``key`` reads it without an exchange. Size buckets so
-    one holds a few hundred MB (e.g. 4096 for a multi-TB silver)."""
-    (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
-     .saveAsTable(table))
+    one holds a few hundred MB (e.g. 4096 for a multi-TB silver). With ``path``
+    the table's files live there (a shared folder), not in the warehouse."""
+    w = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
     return df.sparkSession.table(table)
 
 
@@ -134,8 +138,8 @@ def run_pipeline(spark: SparkSession, bronze: DataFrame, out_dir: str,
     With ``silver_table``, silver is saved as a catalog table bucketed by
     table_id instead of a plain Parquet folder."""
     built = build_silver(bronze, rubric or production_rubric())
-    silver = (write_bucketed(built, silver_table, buckets=buckets) if silver_table
-              else write_table(built, f"{out_dir}/silver"))
+    silver = (write_bucketed(built, silver_table, buckets=buckets, path=f"{out_dir}/silver")
+              if silver_table else write_table(built, f"{out_dir}/silver"))
     gold = gold_tables(silver, regions if regions is not None else reference.region_assignment(spark),
                        users if users is not None else reference.user_profile(spark))
     written = {"silver": silver}

@@ -149,7 +149,7 @@ def test_bucketed_silver_avoids_exchange(spark, gold, tmp_path):
 
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        s = write_bucketed(gold.silver, "silver_bucketed_test", buckets=4)
+        s = write_bucketed(gold.silver, "silver_bucketed_test", buckets=4, path=str(tmp_path / "s"))
         g = gold_tables(s, reference.region_assignment(spark), reference.user_profile(spark))
         plan = g["cert_level_summary"]._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
