@@ -299,6 +299,22 @@ def q_table_health(gold: Gold) -> DataFrame:
                     F.coalesce(F.col("gap_columns"), F.lit(0)).alias("gap_columns")))
 
 
+def q_tables_missing_steward(gold: Gold) -> DataFrame:
+    """Tables with at least one column without a data steward, and how many."""
+    return (apply_filter(gold, "no_steward")
+            .groupBy("system_name", "database_name", "schema_name", "table_name")
+            .agg(F.count("*").alias("columns_without_steward")))
+
+
+def q_table_certification(gold: Gold, table_name: str = "tbl_1") -> DataFrame:
+    """Achieved certification mix of the tables with this name (one row per
+    system/database/schema instance)."""
+    return (gold["cert_level_summary"].filter(F.col("table_name") == table_name)
+            .select("system_name", "database_name", "schema_name", "table_name", "column_count",
+                    "certified_columns", "documented_columns", "registered_columns",
+                    "unclassified_columns", "certified_pct"))
+
+
 def catalog_search(gold: Gold, pattern: str) -> DataFrame:
     """Assets whose database, schema, table or column name contains ``pattern``
     (case-insensitive)."""

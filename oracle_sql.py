@@ -544,6 +544,13 @@ def _more_sql() -> dict[str, str]:
         f"coalesce(gt.gap_columns, 0) AS gap_columns FROM table_governance tg LEFT JOIN "
         f"(SELECT table_id, count(*) AS gap_columns FROM governance_gaps JOIN table_structure USING (column_id) "
         f"GROUP BY table_id) gt ON tg.table_id = gt.table_id")
+    s["q_tables_missing_steward"] = (
+        "SELECT system_name, database_name, schema_name, table_name, count(*) AS columns_without_steward "
+        "FROM profile WHERE data_steward IS NULL GROUP BY ALL")
+    s["q_table_certification"] = (
+        "SELECT system_name, database_name, schema_name, table_name, column_count, certified_columns, "
+        "documented_columns, registered_columns, unclassified_columns, certified_pct "
+        "FROM cert_level_summary WHERE table_name = 'tbl_1'")
     s["catalog_search"] = (
         "SELECT database_name, schema_name, table_name, column_name FROM table_structure WHERE "
         "contains(lower(database_name), 'col_1') OR contains(lower(schema_name), 'col_1') OR "
