@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from govlens.functions.rubric import Rubric, production_rubric
+from govlens.functions.rubric import Rubric, rubric_from_conf
 from govlens.operators import access, gaps, rollups, scoring, structure
 from govlens.operators.silver import build_silver
 from govlens.sources import reference
@@ -75,14 +75,17 @@ def gold_tables(silver: DataFrame, regions: DataFrame, users: DataFrame,
 
 
 def silver_from_sf(spark: SparkSession, sf_dir: str, rubric: Rubric | None = None) -> DataFrame:
-    return build_silver(bronze_from_lineitem(spark, sf_dir), rubric or production_rubric())
+    """Silver of one scale factor; the rubric defaults to ``spark.conf['rubric.path']``
+    when set, else the production rubric."""
+    return build_silver(bronze_from_lineitem(spark, sf_dir), rubric or rubric_from_conf(spark))
 
 
 def gold_from_sf(spark: SparkSession, sf_dir: str, rubric: Rubric | None = None,
                  silver: DataFrame | None = None) -> Gold:
     """Gold plans over the lineitem-derived catalog of one scale factor."""
     silver = silver if silver is not None else silver_from_sf(spark, sf_dir, rubric)
-    return gold_tables(silver, reference.region_assignment(spark), reference.user_profile(spark))
+    return gold_tables(silver, reference.region_assignment(spark), reference.user_profile(spark),
+                       standard=structure.standard_from_conf(spark))
 
 
 def write_table(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
@@ -137,11 +140,12 @@ def run_pipeline(spark: SparkSession, bronze: DataFrame, out_dir: str,
 
     With ``silver_table``, silver is saved as a catalog table bucketed by
     table_id instead of a plain Parquet folder."""
-    built = build_silver(bronze, rubric or production_rubric())
+    built = build_silver(bronze, rubric or rubric_from_conf(spark))
     silver = (write_bucketed(built, silver_table, buckets=buckets, path=f"{out_dir}/silver")
               if silver_table else write_table(built, f"{out_dir}/silver"))
     gold = gold_tables(silver, regions if regions is not None else reference.region_assignment(spark),
-                       users if users is not None else reference.user_profile(spark))
+                       users if users is not None else reference.user_profile(spark),
+                       standard=structure.standard_from_conf(spark))
     written = {"silver": silver}
     written.update(write_gold(gold, out_dir, tables))
     return written

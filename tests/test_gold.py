@@ -176,3 +176,26 @@ def test_run_pipeline_writes_all_tables(spark, tmp_path):
     assert out["silver"].count() == 1718
     assert out["kpi_summary"].first()["total_columns"] == 1718
     assert out["asset_access_check"].count() == out["asset_access_policy"].count() * 9
+
+
+def test_conf_overrides(spark, tmp_path):
+    import yaml
+
+    from govlens.functions.rubric import PRODUCTION_RUBRIC
+    from govlens.plans.pipeline import gold_from_sf
+
+    rub = dict(PRODUCTION_RUBRIC)
+    rub["certification_levels"] = [{"name": "Registered", "gate_checks": ["CHK-01"]}]
+    p = tmp_path / "rubric.yaml"
+    p.write_text(yaml.safe_dump(rub))
+    spark.conf.set("rubric.path", str(p))
+    spark.conf.set("structural.standard_column_count", "5")
+    try:
+        g = gold_from_sf(spark, SF_SMALL)
+        levels = {r[0] for r in g.silver.select("achieved_cert_level").distinct().collect()}
+        assert levels == {"Registered"}
+        stds = {r[0] for r in g["structural_consistency"].select("standard_column_count").distinct().collect()}
+        assert stds == {5}
+    finally:
+        spark.conf.unset("rubric.path")
+        spark.conf.unset("structural.standard_column_count")
