@@ -16,7 +16,8 @@ KEYS = [
     "top_gaps_by_domain", "cert_checklist", "measure_structural_rate", "join_profile_governance",
     "q_lowest_scores", "q_access", "q_table_health", "q_why_restricted", "rule_alerts",
     "pipeline_status", "feedback_latest", "feedback_stats", "region_assignment",
-    "user_access_summary",
+    "user_access_summary", "q_tables_missing_steward", "q_table_certification", "rule_ratio",
+    "silver_valid", "normalized_strings",
 ]
 
 
