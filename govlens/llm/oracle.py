@@ -58,4 +58,16 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
-SQL = {"op4_chat": OP4, "op6_quality": OP6}
+OP9 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS bytes FROM pages
+), k AS (
+  SELECT *, CASE WHEN bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS keeper FROM p
+)
+SELECT page_id, bytes AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN coalesce(page_id <> keeper, false) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to, true AS verified
+FROM k
+"""
+
+SQL = {"op4_chat": OP4, "op6_quality": OP6, "op9_warc": OP9}

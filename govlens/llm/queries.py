@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from govlens.llm import chat, quality, token_counts
+from govlens.llm import chat, quality, token_counts, warc
+from govlens.llm.common import new_path
 
 
 def op1_token_counts(spark, sf_dir):
@@ -28,8 +29,16 @@ def op6_quality(spark, sf_dir):
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op9_warc(spark, sf_dir):
+    path = new_path(spark, "archives")
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.read_archives(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_chat": op4_chat,
     "op6_quality": op6_quality,
+    "op9_warc": op9_warc,
 }
