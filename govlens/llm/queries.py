@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from govlens.llm import chat, quality, token_counts, warc
+from govlens.llm import chat, license_scan, quality, token_counts, warc
 from govlens.llm.common import new_path
 
 
@@ -29,6 +29,21 @@ def op6_quality(spark, sf_dir):
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op7_licenses(spark, sf_dir):
+    found = license_scan.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    exact, fuzzy = F.col("exact.label"), F.col("fuzzy.label")
+    return found.select(
+        "doc_id", "n_words", F.size("exact").cast("long").alias("n_base"),
+        F.array_min("exact.first_word").alias("first_word"), F.array_max("exact.first_word").alias("last_word"),
+        joined(exact).alias("base_labels"), joined(F.concat(exact, fuzzy)).alias("labels"),
+        F.when(F.size("exact") > 0, 1.0).otherwise(
+            F.coalesce(F.array_max("fuzzy.similarity"), F.lit(0.0))).alias("score"))
+
+
 def op9_warc(spark, sf_dir):
     path = new_path(spark, "archives")
     warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -40,5 +55,6 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_chat": op4_chat,
     "op6_quality": op6_quality,
+    "op7_licenses": op7_licenses,
     "op9_warc": op9_warc,
 }
