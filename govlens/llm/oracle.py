@@ -3,6 +3,29 @@ hand: it shares no constant with the code that it checks."""
 
 _SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
+OP2 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split(translate(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), {_SPACES}, '      '), ' '), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= 85 * (x.n + y.n - inter)
+), both_ways AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), reach(doc_id, node) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b FROM reach r JOIN both_ways ON r.node = a
+)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.node) AS component_id, r.doc_id = min(r.node) AS kept
+FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
 OP4 = """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -70,4 +93,4 @@ SELECT page_id, bytes AS payload_bytes, sha1(html) AS payload_digest,
 FROM k
 """
 
-SQL = {"op4_chat": OP4, "op6_quality": OP6, "op9_warc": OP9}
+SQL = {"op2_near_dups": OP2, "op4_chat": OP4, "op6_quality": OP6, "op9_warc": OP9}

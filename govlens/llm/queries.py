@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from govlens.llm import chat, license_scan, quality, token_counts, warc
+from govlens.llm import chat, decontaminate, license_scan, near_dups, quality, token_counts, warc
 from govlens.llm.common import new_path
 
 
@@ -14,6 +14,20 @@ def op1_token_counts(spark, sf_dir):
                                      public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_near_dups(spark, sf_dir):
+    return near_dups.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
+
+
+def op3_decontaminate(spark, sf_dir):
+    """The contaminated documents, with the items found in each."""
+    found = decontaminate.with_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"),
+                                     spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(F.size("leaks") > 0).select(
+        "doc_id", F.size("leaks").cast("long").alias("n_leaks"),
+        F.array_sort(F.array_distinct("leaks.item_id")).alias("item_ids"),
+        F.array_max("leaks.edits").alias("most_edits"))
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -53,6 +67,8 @@ def op9_warc(spark, sf_dir):
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_near_dups": op2_near_dups,
+    "op3_decontaminate": op3_decontaminate,
     "op4_chat": op4_chat,
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from govlens.llm.common import ship, texts
 
-TABLE_SIZE = 32_768
+TABLE_SIZE = 8_192
 CACHE_SIZE = 1_000_000
 MAX_WORD = 64
 LIMIT = 512
