@@ -4,11 +4,8 @@
    cut into buckets, each bucket keeps the smallest value as a register of its number of
    leading zeros and ``MANTISSA`` further bits. Empty buckets borrow from others.
 2. Equal sets are one node from here on (smallest id), however many copies there are.
-3. Registers are cut into bands; equal bands put nodes into one bucket. First every node
-   is compared with the smallest and the largest node of its buckets (two pairs a node);
-   what that links is one component, and only nodes of a bucket that are in different
-   components are then compared with one another. So a bucket of many alike nodes never
-   yields all its pairs, and no pair between different components is left out.
+3. Registers are cut into bands; equal bands put nodes into one bucket. See ``buckets``
+   for how components come of them without all pairs of a bucket.
 4. A pair is compared by its registers (Jaccard estimate less the collisions to expect),
    and if that comes near the threshold, on the full sets.
 5. Links become components by distributed union-find.
@@ -25,15 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govlens.llm.common import ship, texts, written
-from govlens.llm.components import connected_components
+from govlens.llm.buckets import components_of_buckets, shared_buckets
+from govlens.llm.common import among, ship, texts, written
 
-REGISTERS = 150
+REGISTERS = 280
 MANTISSA = 10
 MISS = 1e-6  # highest chance that a pair at the threshold shares no band
 SIGMAS = 5  # a pair is dropped when its estimate is so many standard errors below the threshold
-MEMBERS = 256  # members compared with one center in one group of rows
-WORD_CACHE = 2_000_000
+MEMBERS = 256  # nodes in a block; members compared with one center in one group of rows
+COLUMNS = 8192
+WORD_CACHE = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _EMPTY = np.uint16(0xFFFF)
@@ -174,7 +172,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def banded(nodes: DataFrame, s: Settings) -> DataFrame:
-    """(key, id, n): a row per node and band."""
+    """(key, id): a row per node and band."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
@@ -185,11 +183,10 @@ def banded(nodes: DataFrame, s: Settings) -> DataFrame:
                 key = np.broadcast_to(mix(np.arange(1, s.bands + 1, dtype=np.uint64)), (len(sig), s.bands))
                 for r in range(s.rows):
                     key = mix(key + sig[:, r, :])
-                ids, n = (np.repeat(part[c].to_numpy(zero_copy_only=False), s.bands) for c in ("id", "n"))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids), pa.array(n)],
-                                                 ["key", "id", "n"])
+                ids = np.repeat(part["id"].to_numpy(zero_copy_only=False), s.bands)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
 
-    return nodes.select("id", "n", "sig").mapInArrow(run, "key long, id long, n long")
+    return nodes.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
@@ -218,7 +215,7 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / MEMBERS))
     pairs = pairs.join(size, "a").select("a", "b", chunk.cast("long").alias("chunk"))
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    full = written(docs.join(needed, "doc_id", "left_semi"), "candidates")
+    full = written(among(docs, "doc_id", needed), "candidates")
     center = pairs.select("a", "chunk").distinct().join(
         full.select(F.col("doc_id").alias("a"), "text"), "a").select(
         "a", "chunk", F.lit(None).cast("long").alias("b"), "text")
@@ -236,14 +233,102 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
                     centers.append(own)
                 elif any(similar(x, own, s.percent) for x in centers):
                     out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            yield _link_batch(out)
 
     return (center.union(member).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
             .mapInArrow(run, "a long, b long"))
 
 
-def _pairs(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def full_sets(docs: DataFrame, s: Settings) -> DataFrame:
+    """id and s, the shingle hashes of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                own = [shingle_set(t.as_py(), s.words).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], ["id", "s"])
+
+    return docs.mapInArrow(run, "id long, s array<long>")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: their 0/1 matrix times its transpose,
+    a bounded number of columns at a time. Elements of one set only are left out."""
+    n = len(sets)
+    element, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    shared = count > 1
+    rank = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], rank[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    columns = int(shared.sum())
+    for lo in range(0, columns, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        part = np.zeros((n, min(COLUMNS, columns - lo)), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def _new_links(ids: list[int], components: list[int], sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between different components among the sets of one group, as few as join them."""
+    both = shared_counts(sets).astype(np.int64)
+    size = np.array([len(x) for x in sets])
+    linked = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (both > 0)
+    names = np.array(components)
+    linked &= names[:, None] != names[None, :]
+    top: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while top.get(c, c) != c:
+            c = top[c]
+        return c
+
+    for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+        a, b = root(components[i]), root(components[j])
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            yield ids[i], ids[j]
+
+
+def linked_across(mixed: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between different components within the buckets of ``mixed``.
+
+    A bucket is dealt into blocks of about MEMBERS nodes, and each pair of blocks is a group
+    of rows of its own: no group grows with the bucket, and only links leave it."""
+    blocks = mixed.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    dealt = mixed.join(blocks, "key").select("key", "id", "component", own.alias("own"), F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select(
+        "key", "id", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    rows = dealt.join(written(sets, "sets"), "id").select("key", "lo", "hi", "id", "component", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, components, own = None, [], [], []
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            heads = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+            for r, (key, lo, hi, i, c) in enumerate(heads):
+                if (key, lo, hi) != now:
+                    if len(ids) > 1:
+                        links += _new_links(ids, components, own, s.percent)
+                    now, ids, components, own = (key, lo, hi), [], [], []
+                ids.append(i)
+                components.append(c)
+                own.append(batch.column(5)[r].values.to_numpy(zero_copy_only=False))
+            yield _link_batch(links)
+        if len(ids) > 1:
+            yield _link_batch(list(_new_links(ids, components, own, s.percent)))
+
+    return (rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+            .mapInArrow(run, "a long, b long").distinct())
+
+
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -264,25 +349,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     first = written(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("id")), "first-of-equal")
     nodes = written(known.join(first.select("h1", "h2", F.col("id").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
                     .dropDuplicates(["h1", "h2", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "sig"), "nodes")
-    bands = banded(nodes, s)
-    shared = (bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-              .filter(F.col("lo") < F.col("hi")))
-    members = written(bands.join(shared, "key"), "members")
-    ends = members.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    pairs = ends.select(F.explode(F.array(F.struct(*_pairs("id", "lo")), F.struct(*_pairs("id", "hi")))).alias("p")).select(
-        "p.*").filter(F.col("a") < F.col("b")).distinct()
-    links = written(verified(written(estimated(pairs, nodes, s), "pairs"), rows, s), "links")
-    groups = connected_components(links)
-    left = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", "n", F.coalesce("component", "id").alias("component"))
-    open_keys = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(
-        F.col("lo") < F.col("hi")).select("key")
-    open_members = written(left.join(open_keys, "key"), "open-members")
-    more = written(estimated(_across(open_members, s), nodes, s), "pairs")
-    if not more.isEmpty():
-        links = written(verified(more, rows, s), "links")
-        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        groups = connected_components(stars.union(links))
+    groups = components_of_buckets(
+        shared_buckets(banded(nodes, s)), lambda pairs: verified(written(estimated(pairs, nodes, s), "pairs"), rows, s),
+        lambda mixed: linked_across(mixed, full_sets(among(rows, "doc_id", mixed.select(
+            F.col("id").alias("doc_id")).distinct()), s), s))
     of = first.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         "h1", "h2", F.coalesce("component", "id").alias("component_id"))
     linked = sets.withColumn("n1", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("h1")))
@@ -292,16 +362,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                       (F.col("doc_id") == component).alias("kept"))
 
 
-def _across(members: DataFrame, s: Settings) -> DataFrame:
-    """Distinct pairs of a bucket's nodes in different components whose sizes allow the threshold."""
-    def side(x: str) -> DataFrame:
-        return members.select("key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"))
-
-    fits = 100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b")
-    return side("a").join(side("b"), "key").filter(
-        (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits).select("a", "b").distinct()
-
-
 def kept_of_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
                             text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id, and all

@@ -93,4 +93,40 @@ SELECT page_id, bytes AS payload_bytes, sha1(html) AS payload_digest,
 FROM k
 """
 
-SQL = {"op2_near_dups": OP2, "op4_chat": OP4, "op6_quality": OP6, "op9_warc": OP9}
+OP10 = """
+WITH RECURSIVE l AS (
+  SELECT doc_id, i - 1 AS place, parts[i] AS part, trim(lower(trim(parts[i], chr(32)||chr(9)||chr(13)||chr(11)||chr(12)))) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+        FROM documents)
+), c AS (
+  SELECT DISTINCT line FROM l WHERE length(line) >= 25
+), p AS (
+  SELECT line, unnest(regexp_extract_all(line, '\\s*\\S{1,12}')) AS piece,
+    generate_subscripts(regexp_extract_all(line, '\\s*\\S{1,12}'), 1) AS i FROM c
+), o AS (
+  SELECT line, sum(length(piece)) OVER (PARTITION BY line ORDER BY i) - length(ltrim(piece)) AS start FROM p
+), s AS (
+  SELECT DISTINCT line, substr(line, CAST(start AS BIGINT) + 1, 12) AS s FROM o
+), n AS (
+  SELECT line, count(*) AS n FROM s GROUP BY line
+), e AS (
+  SELECT a, b FROM (
+    SELECT x.line AS a, y.line AS b, count(*) AS inter FROM s x JOIN s y ON x.s = y.s AND x.line < y.line GROUP BY ALL)
+  JOIN n x ON x.line = a JOIN n y ON y.line = b WHERE 100 * inter >= 80 * (x.n + y.n - inter)
+), both_ways AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), reach(line, node) AS (
+  SELECT line, line FROM c UNION SELECT r.line, b FROM reach r JOIN both_ways ON r.node = a
+), g AS (
+  SELECT line, min(node) AS component FROM reach GROUP BY line
+), k AS (
+  SELECT l.doc_id, l.place, l.part, component IS NULL OR row_number() OVER (
+    PARTITION BY component ORDER BY l.doc_id, l.place) = 1 AS stays
+  FROM l LEFT JOIN g ON g.line = l.line
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(k.part, chr(10) ORDER BY k.place) FILTER (WHERE k.stays), '') END AS text,
+  CASE WHEN length(any_value(d.text)) > 0 THEN count(*) ELSE 0 END AS n_lines, count(*) FILTER (WHERE NOT k.stays) AS n_removed
+FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.text
+"""
+
+SQL = {"op10_line_dedup": OP10, "op2_near_dups": OP2, "op4_chat": OP4, "op6_quality": OP6, "op9_warc": OP9}

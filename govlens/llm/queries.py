@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from govlens.llm import chat, decontaminate, license_scan, near_dups, quality, token_counts, warc
+from govlens.llm import chat, decontaminate, license_scan, line_dedup, near_dups, quality, sentencepiece_codec, token_counts, warc
 from govlens.llm.common import new_path
 
 
@@ -58,6 +58,11 @@ def op7_licenses(spark, sf_dir):
             F.coalesce(F.array_max("fuzzy.similarity"), F.lit(0.0))).alias("score"))
 
 
+def op8_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"),
+                                      public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_warc(spark, sf_dir):
     path = new_path(spark, "archives")
     warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -65,6 +70,10 @@ def op9_warc(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dups": op2_near_dups,
@@ -72,5 +81,7 @@ QUERIES = {
     "op4_chat": op4_chat,
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_warc": op9_warc,
+    "op10_line_dedup": op10_line_dedup,
 }
