@@ -95,18 +95,17 @@ FROM k
 
 OP10 = """
 WITH RECURSIVE l AS (
-  SELECT doc_id, i - 1 AS place, parts[i] AS part, trim(lower(trim(parts[i], chr(32)||chr(9)||chr(13)||chr(11)||chr(12)))) AS line
+  SELECT doc_id, i - 1 AS place, parts[i] AS part, lower(trim(parts[i], chr(32)||chr(9)||chr(13)||chr(11)||chr(12))) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
         FROM documents)
 ), c AS (
-  SELECT DISTINCT line FROM l WHERE length(line) >= 25
-), p AS (
-  SELECT line, unnest(regexp_extract_all(line, '\\s*\\S{1,12}')) AS piece,
-    generate_subscripts(regexp_extract_all(line, '\\s*\\S{1,12}'), 1) AS i FROM c
-), o AS (
-  SELECT line, sum(length(piece)) OVER (PARTITION BY line ORDER BY i) - length(ltrim(piece)) AS start FROM p
+  SELECT DISTINCT line FROM l WHERE strlen(line) >= 25
+), v AS (
+  SELECT line, CASE WHEN length(line) <= 16 * len(string_split(line, ' ')) THEN string_split(line, ' ')
+    ELSE string_split(regexp_replace(line, '(\\S{12})', '\\1 ', 'g'), ' ') END AS w FROM c
 ), s AS (
-  SELECT DISTINCT line, substr(line, CAST(start AS BIGINT) + 1, 12) AS s FROM o
+  SELECT DISTINCT line, w[i] || ' ' || coalesce(left(w[i + 1], 6), '') AS s
+  FROM (SELECT line, w, unnest(range(1, len(w) + 1)) AS i FROM v)
 ), n AS (
   SELECT line, count(*) AS n FROM s GROUP BY line
 ), e AS (
@@ -125,7 +124,7 @@ WITH RECURSIVE l AS (
   FROM l LEFT JOIN g ON g.line = l.line
 )
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(k.part, chr(10) ORDER BY k.place) FILTER (WHERE k.stays), '') END AS text,
-  CASE WHEN length(any_value(d.text)) > 0 THEN count(*) ELSE 0 END AS n_lines, count(*) FILTER (WHERE NOT k.stays) AS n_removed
+  count(*) FILTER (WHERE NOT k.stays) AS n_removed
 FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.text
 """
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from govlens.llm.common import written
+from govlens.llm.common import marked, written
 
 # Fixed values of the format.
 VERSION, CRLF = "WARC/1.1", "\r\n"
@@ -42,31 +42,44 @@ def records(pages: DataFrame, revisit_from: int = REVISIT_FROM, date: str = DATE
     null url: an empty target. A null page_id is never referred to: such pages are
     responses unless a page with an id has the same payload. Repeated rows of the page
     with the largest id are responses alike. Line ends in a url are percent-encoded.
+
+    Revisit records need no payload, so payloads are not shuffled but for pages that are
+    revisits (and few others, see ``marked``), which the anti-join drops.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                        payload.alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"),
+                        F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("bytes"),
                        F.sha1(F.col("payload").cast("binary")).alias("digest"),
-                       F.xxhash64("payload").alias("hash"))
+                       F.xxhash64("payload").alias("hash")).withColumn("row", F.xxhash64("page_id", "digest"))
+    light = rows.drop("payload").filter(F.col("bytes") >= revisit_from)
     key = ["digest", "hash", "bytes"]
-    keeper = (rows.filter(F.col("bytes") >= revisit_from).groupBy(*key)
-              .agg(F.max("page_id").alias("keeper")).filter(F.col("keeper").isNotNull()))
-    rows = rows.join(keeper, key, "left")
-    revisit = F.coalesce(F.col("page_id") != F.col("keeper"), F.col("keeper").isNotNull())
-    uri = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    keepers = (light.groupBy(*key).agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+               .filter(F.col("keeper").isNotNull() & (F.col("n") > 1)).drop("n"))
+    revisits = written(light.join(keepers.hint("merge"), key).filter(~F.col("page_id").eqNullSafe(F.col("keeper"))),
+                       "revisits")
+    gone = revisits.select(F.col("page_id").alias("g"), F.col("digest").alias("d")).hint("merge")
+    split = marked(rows, "row", revisits)
+    response = split.filter("not marked").unionByName(split.filter("marked").join(
+        gone, F.col("page_id").eqNullSafe(F.col("g")) & (F.col("digest") == F.col("d")), "left_anti"))
+    return _record(response, "response", F.col("payload"), date).unionByName(_record(revisits, "revisit", None, date))
+
+
+def _record(rows: DataFrame, kind: str, payload: Column | None, date: str) -> DataFrame:
+    uri = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = _text("HTTP/1.1 200 OK", CRLF, "Content-Type: text/html; charset=utf-8", CRLF,
                  "Content-Length: ", F.col("bytes").cast("string"), END)
-    head = _text(
-        VERSION, CRLF, "WARC-Type: ", F.when(revisit, "revisit").otherwise("response"), CRLF,
-        "WARC-Record-ID: ", _urn(F.col("page_id")), CRLF, "WARC-Target-URI: ", uri, CRLF,
-        "WARC-Date: ", date, CRLF, "WARC-Payload-Digest: sha1:", F.col("digest"), CRLF,
-        F.when(revisit, _text("WARC-Refers-To: ", _urn(F.col("keeper")), CRLF,
-                              "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                              CRLF)).otherwise(""),
-        "Content-Type: application/http; msgtype=response", CRLF, "Content-Length: ",
-        (F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("bytes"))).cast("string"), END)
-    return rows.select(_text(head, http, F.when(revisit, "").otherwise(F.col("payload"))).alias("value"))
+    refers = [] if payload is not None else [
+        "WARC-Refers-To: ", _urn(F.col("keeper")), CRLF,
+        "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", CRLF]
+    length = F.octet_length(http) + (F.col("bytes") if payload is not None else F.lit(0))
+    return rows.select(_text(
+        VERSION, CRLF, "WARC-Type: ", kind, CRLF, "WARC-Record-ID: ", _urn(F.col("page_id")), CRLF,
+        "WARC-Target-URI: ", uri, CRLF, "WARC-Date: ", date, CRLF,
+        "WARC-Payload-Digest: sha1:", F.col("digest"), CRLF, *refers,
+        "Content-Type: application/http; msgtype=response", CRLF,
+        "Content-Length: ", length.cast("string"), END, http,
+        *([payload] if payload is not None else [])).alias("value"))
 
 
 def _urn(page_id: Column) -> Column:
@@ -81,9 +94,10 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The archives cut at every magic: file, split, ord (order within a split), value."""
+    """The archives cut at every magic: file (a hash of its path), split, ord (order within a
+    split), value."""
     return spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("ord"), "value")
 
 
@@ -136,20 +150,20 @@ def _reached(pieces: DataFrame) -> DataFrame:
                            F.lag("next").over(order).alias("before"))
     jumps = (linked.filter(F.col("next").isNotNull() & ~F.col("next").eqNullSafe(F.col("after")))
              .select("file", F.col("next").alias("at")).distinct().withColumn("aimed", F.lit(True)))
-    heads = linked.join(jumps, ["file", "at"], "left").select(
+    heads = linked.join(jumps.hint("merge"), ["file", "at"], "left").select(
         "file", "at", "next",
         F.when(F.col("aimed") | ~F.col("before").eqNullSafe(F.col("at")), F.col("at")).alias("head"))
     runs = written(heads.select("file", "at", "next", F.last("head", ignorenulls=True).over(
         order.rowsBetween(W.unboundedPreceding, 0)).alias("run")), "warc-runs")
     jump = written(runs.groupBy("file", "run").agg(F.max_by("next", "at").alias("to")), "warc-jumps")
-    jump = jump.join(jump.select("file", F.col("run").alias("to")), ["file", "to"], "left_semi").select(
+    jump = jump.join(jump.select("file", F.col("run").alias("to")).hint("merge"), ["file", "to"], "left_semi").select(
         "file", "run", "to")
     reached = runs.filter(F.col("at") == 0).select("file", "run")
     while True:
         more = written(reached.join(jump, ["file", "run"]).select("file", F.col("to").alias("run")).distinct()
                        .join(reached, ["file", "run"], "left_anti"), "warc-reached")
         if more.isEmpty():
-            return runs.join(reached, ["file", "run"], "left_semi").select("file", "at")
+            return runs.join(reached.hint("merge"), ["file", "run"], "left_semi").select("file", "at")
         reached = reached.union(more)
         jump = written(jump.join(jump.select("file", F.col("run").alias("to"), F.col("to").alias("on")),
                                  ["file", "to"]).select("file", "run", F.col("on").alias("to")), "warc-jumps")
@@ -169,7 +183,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     reached = written(_reached(placed.select(
         "file", "at", (F.col("at") + F.col("head_bytes") + F.col("length") + (4 + len(MAGIC))).alias("next"))),
         "warc-records")
-    found = placed.join(reached, ["file", "at"])
+    found = placed.join(reached.hint("merge"), ["file", "at"])
     whole = found.filter(F.coalesce("full", F.lit(False))).select(*FIELDS)
     cut = written(found.filter(~F.coalesce("full", F.lit(False))).select("file", "at"), "warc-cut")
     if cut.isEmpty():
