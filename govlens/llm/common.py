@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Characters that separate words: \x20 and \x09-\x0D.
@@ -69,6 +69,15 @@ def among(df: DataFrame, key: str, needed: DataFrame) -> DataFrame:
     return likely(df, key, needed).join(needed.select(key).hint("merge"), key, "left_semi")
 
 
+def not_among(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose long ``key`` is not in ``gone`` (its only column); null keys stay.
+    Rows that aren't marked are not shuffled."""
+    name = gone.columns[0]
+    keyed = marked(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias(name)), name, gone)
+    left = keyed.filter("marked").join(gone.hint("merge"), name, "left_anti")
+    return keyed.filter("not marked").unionByName(left).select("row.*")
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers (a zip sent by Spark itself), so that
     operators run wherever the driver was started from. Once per Spark context."""

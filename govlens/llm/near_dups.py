@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlens.llm.buckets import components_of_buckets, shared_buckets
-from govlens.llm.common import among, ship, texts, written
+from govlens.llm.common import among, not_among, ship, texts, written
+from govlens.llm.words import hashed_words, mix
 
 REGISTERS = 280
 MANTISSA = 10
@@ -31,11 +32,9 @@ MISS = 1e-6  # highest chance that a pair at the threshold shares no band
 SIGMAS = 5  # a pair is dropped when its estimate is so many standard errors below the threshold
 MEMBERS = 256  # nodes in a block; members compared with one center in one group of rows
 COLUMNS = 8192
-WORD_CACHE = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _EMPTY = np.uint16(0xFFFF)
-_WORKER: dict = {}
 
 
 @dataclass(frozen=True)
@@ -59,29 +58,12 @@ class Settings:
         return j - SIGMAS * (j * (1 - j) / REGISTERS) ** 0.5
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
-        return x ^ (x >> np.uint64(31))
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def shingle_set(text: str, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's runs of ``k`` words (A-Z lower-cased, words
     cut at space and \\x09-\\x0D); of fewer words the whole sequence is one; of none, none."""
-    hashes = _WORKER.setdefault("words", _WordHashes())
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    w = hashed_words(text)
+    if not len(w):
+        return w
     k = min(k, len(w))
     n = len(w) - k + 1
     h = np.full(n, k, np.uint64)
@@ -367,5 +349,5 @@ def kept_of_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     """The rows of ``docs`` that stay: of each component the one with the smallest id, and all
     rows without an id. Columns are those of ``docs``."""
     gone = near_duplicates(docs, words, percent, id_col, text_col).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+        F.col("doc_id").alias("gone")).distinct()
+    return not_among(docs, F.col(f"`{id_col}`").cast("long"), written(gone, "near-duplicates"))

@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from govlens.llm import chat, decontaminate, license_scan, line_dedup, near_dups, quality, sentencepiece_codec, token_counts, warc
+from govlens.llm import (
+    chat,
+    decontaminate,
+    license_scan,
+    line_dedup,
+    lm_score,
+    near_dups,
+    quality,
+    sentencepiece_codec,
+    token_counts,
+    warc,
+)
 from govlens.llm.common import new_path
 
 
@@ -37,6 +48,10 @@ def op4_chat(spark, sf_dir):
     return chat.conversation_digests(chat.format_turns(turns.union(planted)))
 
 
+def op5_lm_scores(spark, sf_dir):
+    return lm_score.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_quality(spark, sf_dir):
     judged = quality.quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in (
@@ -79,6 +94,7 @@ QUERIES = {
     "op2_near_dups": op2_near_dups,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat": op4_chat,
+    "op5_lm_scores": op5_lm_scores,
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,
     "op8_sentencepiece": op8_sentencepiece,
