@@ -65,8 +65,11 @@ def likely(df: DataFrame, key: str, needed: DataFrame) -> DataFrame:
 
 
 def among(df: DataFrame, key: str, needed: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose long ``key`` is in ``needed``."""
-    return likely(df, key, needed).join(needed.select(key).hint("merge"), key, "left_semi")
+    """The rows of ``df`` whose long ``key`` is in ``needed``.
+
+    An inner join with the different keys: a semi join would be moved below the marking,
+    and all rows shuffled."""
+    return likely(df, key, needed).join(needed.select(key).distinct().hint("merge"), key)
 
 
 def not_among(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
@@ -74,8 +77,10 @@ def not_among(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     Rows that aren't marked are not shuffled."""
     name = gone.columns[0]
     keyed = marked(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias(name)), name, gone)
-    left = keyed.filter("marked").join(gone.hint("merge"), name, "left_anti")
-    return keyed.filter("not marked").unionByName(left).select("row.*")
+    # an outer join: an anti join would be moved below the marking, and all rows shuffled
+    listed = gone.distinct().withColumn("listed", F.lit(True)).hint("merge")
+    left = keyed.filter("marked").join(listed, name, "left").filter(F.col("listed").isNull())
+    return keyed.filter("not marked").unionByName(left.drop("listed")).select("row.*")
 
 
 def ship(spark: SparkSession) -> None:

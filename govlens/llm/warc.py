@@ -44,7 +44,7 @@ def records(pages: DataFrame, revisit_from: int = REVISIT_FROM, date: str = DATE
     with the largest id are responses alike. Line ends in a url are percent-encoded.
 
     Revisit records need no payload, so payloads are not shuffled but for pages that are
-    revisits (and few others, see ``marked``), which the anti-join drops.
+    revisits (and few others, see ``marked``), which the join tells apart.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"),
@@ -58,10 +58,13 @@ def records(pages: DataFrame, revisit_from: int = REVISIT_FROM, date: str = DATE
                .filter(F.col("keeper").isNotNull() & (F.col("n") > 1)).drop("n"))
     revisits = written(light.join(keepers.hint("merge"), key).filter(~F.col("page_id").eqNullSafe(F.col("keeper"))),
                        "revisits")
-    gone = revisits.select(F.col("page_id").alias("g"), F.col("digest").alias("d")).hint("merge")
+    gone = revisits.select(F.col("page_id").alias("g"), F.col("digest").alias("d")).distinct().hint("merge")
     split = marked(rows, "row", revisits)
-    response = split.filter("not marked").unionByName(split.filter("marked").join(
-        gone, F.col("page_id").eqNullSafe(F.col("g")) & (F.col("digest") == F.col("d")), "left_anti"))
+    # an outer join: an anti join would be moved below the marking, and all payloads shuffled
+    maybe = split.filter("marked").join(
+        gone, F.col("page_id").eqNullSafe(F.col("g")) & (F.col("digest") == F.col("d")), "left").filter(
+        F.col("d").isNull())
+    response = split.filter("not marked").unionByName(maybe.drop("g", "d"))
     return _record(response, "response", F.col("payload"), date).unionByName(_record(revisits, "revisit", None, date))
 
 
