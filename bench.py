@@ -2,8 +2,9 @@
 
 Prints one JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
-Scratch output goes to a fresh folder (the session's checkpoint dir when set,
-else a new /tmp/run-* folder).
+     BENCH_OUT (folder for silver and gold; default: the session's checkpoint folder,
+     else a new /tmp/run-* folder).
+Gold tables and questions are timed one at a time, so each figure is that query's own.
 """
 
 from __future__ import annotations
@@ -36,14 +37,13 @@ def main() -> None:
     from govlens.operators.silver import build_silver
     from govlens.plans import semantic as SEM
     from govlens.plans.hints import ensure_checkpoint_dir
-    from govlens.plans.pipeline import GOLD_TABLES, gold_tables, write_bucketed, write_gold
+    from govlens.plans.pipeline import STORED_TABLES, gold_tables, write_bucketed, write_gold
     from govlens.sources import reference as R
     from govlens.sources.raw import bronze_from_lineitem
 
-    base = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-    out = tempfile.mkdtemp(prefix="run-", dir="/tmp") if base.startswith("file:") or base.startswith("/") \
-        else base.rstrip("/") + f"/bench-{int(time.time())}"
-    out = out.replace("file:", "")
+    base = os.environ.get("BENCH_OUT") or ensure_checkpoint_dir(
+        spark, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    out = f"{base.rstrip('/')}/bench-{int(time.time())}"
     times: dict[str, float] = {}
 
     def timed(name, fn):
@@ -60,15 +60,15 @@ def main() -> None:
     buckets = cpus * 2
     table = f"bench_silver_{int(time.time())}"
     timed("raw_to_silver", lambda: write_bucketed(
-        build_silver(bronze_from_lineitem(spark, sf_dir)), table, buckets=buckets,
+        build_silver(bronze_from_lineitem(spark, sf_dir, partitions=cpus * 2)), table, buckets=buckets,
         path=f"{out}/silver"))
     silver = spark.table(table)
     gold = gold_tables(silver, R.region_assignment(spark), R.user_profile(spark))
     timed("silver_to_gold", lambda: write_gold(
-        gold, out, GOLD_TABLES, parallelism=4,
+        gold, out, STORED_TABLES, parallelism=1,
         on_done=lambda n, s: times.__setitem__(n, round(s, 3))))
     written = gold_tables(silver, R.region_assignment(spark), R.user_profile(spark))
-    for name in GOLD_TABLES:
+    for name in STORED_TABLES:
         written[name] = spark.read.parquet(f"{out}/{name}")
     q0 = time.time()
     for q, fn in SEM.QUESTIONS.items():

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 
 def half_up_div(num: Column, den: Column) -> Column:
-    """round_half_up(num / den) for integer num and positive integer den.
+    """round_half_up(num / den) for integer num and positive integer den, as a double.
 
-    Evaluated as floor((2|num| + den) / (2 den)); exact while |num| * den stays
-    below ~4e15, far above catalog sizes (sums of cents per table).
+    Evaluated as (2|num| + den) div (2 den) on DECIMAL(38,0): no floating point before
+    the quotient, and no overflow for any BIGINT operands.
     """
-    q = F.floor((F.abs(num) * 2 + den) / (den * 2))
-    return F.when(den > 0, F.signum(num) * q)
+    wide = [c.cast("decimal(19,0)") for c in (F.abs(num), den)]
+    q = F.call_function("div", wide[0] * 2 + wide[1], wide[1] * 2).cast("double")
+    return F.when(den > 0, F.when(num < 0, -q).otherwise(q))
 
 
 def scaled_sum(col: str | Column, scale: int) -> Column:

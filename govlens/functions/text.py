@@ -38,16 +38,6 @@ def norm(col: str | Column) -> Column:
     return F.lower(strip_ws(col))
 
 
-def path_key(*cols: str | Column) -> Column:
-    """Normalised name path joined by ``||``; NULL if any part is NULL."""
-    parts: list[Column] = []
-    for i, c in enumerate(cols):
-        if i:
-            parts.append(F.lit(KEY_SEPARATOR))
-        parts.append(norm(c))
-    return F.concat(*parts)
-
-
 def surrogate_id(key: Column) -> Column:
     """sha-256 hex of a path key; NULL key gives NULL id."""
     return F.when(key.isNotNull(), F.sha2(key, 256))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlens.functions.labels import asset_location
-from govlens.plans.hints import bounded_broadcast
 
 # Defaults for databases without a policy, and decision texts.
 DEFAULT_POLICY = {
@@ -24,7 +23,6 @@ REASON_DENY = "Asset is restricted to its region; user's region or access group
 POLICY_COLUMNS = ["table_id", "database_name", "schema_name", "table_name", "asset_region",
                   "required_access_group", "allowed_region", "policy_rationale",
                   "is_default_policy"]
-CLASS_COLUMNS = ["asset_region", "required_access_group", "allowed_region"]
 CHECK_COLUMNS = ["asset_location", "table_id", "table_name", "asset_region", "user_email",
                  "user_region", "department", "required_access_group", "user_access_group",
                  "allowed_region", "policy_rationale", "is_default_policy", "access_decision",
@@ -55,7 +53,7 @@ def asset_access_policy(silver: DataFrame, regions: DataFrame,
         cond = F.lower(tables["database_name"]) == F.lower(rules["r_database_name"])
     else:
         cond = tables["database_name"] == rules["r_database_name"]
-    joined = tables.join(bounded_broadcast(rules), cond, "left")
+    joined = tables.join(rules, cond, "left")
     out = joined.select(
         "table_id", "database_name", "schema_name", "table_name",
         *[F.col(f"r_{c}").alias(c) for c in DEFAULT_POLICY],
@@ -63,46 +61,47 @@ def asset_access_policy(silver: DataFrame, regions: DataFrame,
     return _with_defaults(out).select(*POLICY_COLUMNS)
 
 
-def decision_matrix(regions: DataFrame, users: DataFrame) -> DataFrame:
-    """Access decision per (policy class x user): both inputs are bounded
-    reference dimensions (policy classes <= rules + 1)."""
-    classes = (_with_defaults(regions.select(*CLASS_COLUMNS))
-               .union(_with_defaults(regions.sparkSession.range(1).select(
-                   *[F.lit(None).cast("string").alias(c) for c in CLASS_COLUMNS])))
-               .distinct())
-    u = users.select("user_email", "user_region", "department",
-                     F.col("access_group").alias("user_access_group"))
-    m = classes.crossJoin(bounded_broadcast(u))
+def access_pairs(policy: DataFrame, users: DataFrame, user_columns=(), policy_columns=(),
+                 table_parts: int = 64, user_parts: int = 8) -> DataFrame:
+    """Access decision for every (table, user) pair, with extra columns of either side.
+
+    The output is tables x users by definition; it is stored nowhere by default (see
+    ``pipeline.STORED_TABLES``) and meant to be filtered: filters on tables or users
+    reach their side before the pairs are made. Pairs are made as an equi-join over a
+    grid: each table copies into the parts of the users and each user into the parts of
+    the tables, so every grid cell is one join key of even size, whatever the policy
+    classes' sizes are.
+    """
+    tables = policy.select(*dict.fromkeys([*POLICY_COLUMNS, *policy_columns])).withColumns({
+        "__t": F.pmod(F.xxhash64("table_id"), F.lit(table_parts)),
+        "__u": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(user_parts - 1).cast("long")))})
+    people = users.select("user_email", "user_region", "department",
+                          F.col("access_group").alias("user_access_group"), *user_columns).withColumns({
+        "__u": F.pmod(F.xxhash64("user_email"), F.lit(user_parts)),
+        "__t": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(table_parts - 1).cast("long")))})
     open_ = F.col("asset_region") == "UNRESTRICTED"
     match = ((F.col("user_region") == F.col("allowed_region"))
              & (F.col("user_access_group") == F.col("required_access_group")))
-    return m.withColumns({
-        "access_decision": F.when(open_, ELIGIBLE).when(match, ELIGIBLE).otherwise(NOT_ELIGIBLE),
+    return tables.join(people, ["__t", "__u"]).withColumns({
+        "access_decision": F.when(open_ | match, ELIGIBLE).otherwise(NOT_ELIGIBLE),
         "access_reason": F.when(open_, REASON_OPEN).when(match, REASON_MATCH).otherwise(REASON_DENY),
-    })
-
+        "asset_location": asset_location(),
+    }).drop("__t", "__u")
 
-def asset_access_check(policy: DataFrame, regions: DataFrame, users: DataFrame) -> DataFrame:
-    """Access decision for every (table, user) pair, as the gold table defines.
 
-    The per-table side is never cross-joined: each table equi-joins (broadcast
-    hash join on its policy class) to the small precomputed decision matrix.
-    The output is tables x users by definition; filter tables or users first
-    (see ``access_for``) to decide for a few pairs only.
-    """
-    matrix = bounded_broadcast(decision_matrix(regions, users))
-    joined = policy.join(matrix, CLASS_COLUMNS, "inner")
-    return joined.withColumn("asset_location", asset_location()).select(*CHECK_COLUMNS)
+def asset_access_check(policy: DataFrame, users: DataFrame) -> DataFrame:
+    """Access decision for every (table, user) pair, as the gold table defines."""
+    return access_pairs(policy, users).select(*CHECK_COLUMNS)
 
 
-def access_for(policy: DataFrame, regions: DataFrame, users: DataFrame,
-               table_name: str | None = None, user_email: str | None = None) -> DataFrame:
+def access_for(policy: DataFrame, users: DataFrame, table_name: str | None = None,
+               user_email: str | None = None) -> DataFrame:
     """Decisions for one table name and/or one user, filtered before the join."""
     if table_name is not None:
         policy = policy.filter(F.col("table_name") == table_name)
     if user_email is not None:
         users = users.filter(F.col("user_email") == user_email)
-    return asset_access_check(policy, regions, users)
+    return asset_access_check(policy, users)
 
 
 def region_rules_in_use(silver: DataFrame, regions: DataFrame) -> DataFrame:
@@ -112,8 +111,27 @@ def region_rules_in_use(silver: DataFrame, regions: DataFrame) -> DataFrame:
     return regions.join(dbs, "database_name", "left_semi")
 
 
-def user_access_summary(check: DataFrame) -> DataFrame:
-    """Per user: how many tables they may and may not access."""
-    return check.groupBy("user_email", "user_region", "user_access_group").agg(
-        F.count_if(F.col("access_decision") == ELIGIBLE).alias("eligible_tables"),
-        F.count_if(F.col("access_decision") == NOT_ELIGIBLE).alias("restricted_tables"))
+def user_access_summary(policy: DataFrame, users: DataFrame) -> DataFrame:
+    """Per user: how many tables they may and may not access.
+
+    Tables are counted per policy class first (a handful of rows, combined before the
+    shuffle); the counts reach the users as one scalar map, so users are neither
+    shuffled nor paired with tables.
+    """
+    open_ = F.coalesce(F.col("asset_region") == "UNRESTRICTED", F.lit(False))
+    classes = policy.select(F.when(open_, F.lit("open")).otherwise(
+        _class_key("allowed_region", "required_access_group")).alias("class")).groupBy("class").agg(
+        F.count("*").alias("n"))
+    counts = classes.agg(F.map_from_entries(F.collect_list(F.struct("class", "n")))).scalar()
+    total = policy.agg(F.count("*")).scalar()
+    own = F.coalesce(F.try_element_at(counts, F.lit("open")), F.lit(0)) + F.coalesce(
+        F.try_element_at(counts, _class_key("user_region", "user_access_group")), F.lit(0))
+    out = users.select("user_email", "user_region", F.col("access_group").alias("user_access_group"))
+    return out.groupBy(*out.columns).agg(F.count("*").alias("__n")).select(
+        *out.columns, (own * F.col("__n")).alias("eligible_tables"),
+        ((total - own) * F.col("__n")).alias("restricted_tables"))
+
+
+def _class_key(region: str, group: str):
+    """A policy class as text; null parts match nothing, so they make a key that no user has."""
+    return F.concat(F.lit("class:"), F.coalesce(F.to_json(F.array(region, group)), F.lit("none")))

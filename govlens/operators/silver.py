@@ -83,24 +83,24 @@ def standardize(df: DataFrame, synonyms=None, initcap_columns=INITCAP_COLUMNS) -
     return df.withColumns(out)
 
 
-def rebuild_keys(df: DataFrame, levels=None) -> DataFrame:
+def rebuild_keys(df: DataFrame, levels=None, stripped: bool = False) -> DataFrame:
     """Keep source ids as ``source_*_id``; rebuild ids from the normalised name path.
 
     Each name part is normalised once (a helper column) and shared by the four
     path keys, instead of once per key."""
     levels = KEY_LEVELS if levels is None else levels
-    renamed = df.withColumnsRenamed({k: f"source_{k}" for k in levels if k in df.columns})
-    parts = sorted({p for ps in levels.values() for p in ps})
-    normed = renamed.withColumns({f"__norm_{p}": norm(p) for p in parts})
-    keys = {}
-    for k, ps in levels.items():
-        pieces = []
-        for i, p in enumerate(ps):
-            if i:
-                pieces.append(F.lit(KEY_SEPARATOR))
-            pieces.append(F.col(f"__norm_{p}"))
-        keys[k] = surrogate_id(F.concat(*pieces))
-    return normed.withColumns(keys).drop(*[f"__norm_{p}" for p in parts])
+    kept = df.withColumnsRenamed({k: f"source_{k}" for k in levels if k in df.columns})
+    names = list(dict.fromkeys(p for path in levels.values() for p in path))
+    helper = {p: f"__norm_{p}" for p in names}
+    # concat (unlike concat_ws) is null as soon as one part is, which makes the id null
+    ids = {k: surrogate_id(F.concat(*interleaved([F.col(helper[p]) for p in path], F.lit(KEY_SEPARATOR))))
+           for k, path in levels.items()}
+    # names that are stripped already need only be lower-cased
+    return kept.withColumns({h: F.lower(p) if stripped else norm(p) for p, h in helper.items()}).withColumns(ids).drop(*helper.values())
+
+
+def interleaved(parts: list[Column], separator: Column) -> list[Column]:
+    return [c for p in parts for c in (separator, p)][1:]
 
 
 def _rule(cond: str) -> Column:
@@ -111,13 +111,6 @@ def expectations_met(rules=EXPECTATIONS) -> Column:
     return reduce(lambda a, b: a & b, [_rule(c) for c in rules.values()])
 
 
-def expect(df: DataFrame, rules=EXPECTATIONS) -> tuple[DataFrame, DataFrame]:
-    """Split into (valid rows, quarantined rows with ``_failed_expectations``)."""
-    ok = expectations_met(rules)
-    reasons = F.concat_ws(", ", *[F.when(~_rule(c), F.lit(n)) for n, c in rules.items()])
-    return df.filter(ok), df.filter(~ok).withColumn("_failed_expectations", reasons)
-
-
 def expectation_counts(df: DataFrame, rules=EXPECTATIONS) -> DataFrame:
     """One row per expectation: rows passing and failing it (single pass)."""
     aggs = []
@@ -133,6 +126,13 @@ def completeness_count(fields=GOVERNANCE_FIELDS) -> Column:
     return reduce(lambda a, b: a + b, [F.col(f).isNotNull().cast("int") for f in fields])
 
 
+def best_first(cols: list[str], key: str, fields=GOVERNANCE_FIELDS, tiebreak=("source_column_id",)) -> Column:
+    """A row of ``cols`` as a struct whose smallest value is the best snapshot of ``key``."""
+    rest = [c for c in cols if c != key and c not in tiebreak]
+    return F.struct((-completeness_count(fields)).alias("__neg_completeness"),
+                    *[F.col(c) for c in tiebreak], *[F.col(c) for c in rest])
+
+
 def dedup_best(df: DataFrame, key: str = "column_id", fields=GOVERNANCE_FIELDS,
                tiebreak=("source_column_id",)) -> DataFrame:
     """One row per ``key``: most complete snapshot, then smallest tiebreak
@@ -143,10 +143,7 @@ def dedup_best(df: DataFrame, key: str = "column_id", fields=GOVERNANCE_FIELDS,
     map-side before the shuffle, so hot keys are reduced before they move.
     """
     cols = df.columns
-    rest = [c for c in cols if c != key and c not in tiebreak]
-    order = F.struct((-completeness_count(fields)).alias("__neg_completeness"),
-                     *[F.col(c) for c in tiebreak], *[F.col(c) for c in rest])
-    best = df.groupBy(key).agg(F.min(order).alias("__best"))
+    best = df.groupBy(key).agg(F.min(best_first(cols, key, fields, tiebreak)).alias("__best"))
     return best.select(*[F.col(key) if c == key else F.col(f"__best.{c}").alias(c) for c in cols])
 
 
@@ -174,7 +171,22 @@ def certify(df: DataFrame, rubric: Rubric) -> DataFrame:
 
 def prepare(bronze: DataFrame, synonyms=None) -> DataFrame:
     """Typed, cleaned, standardised rows with rebuilt ids (no filter, no dedup)."""
-    return rebuild_keys(standardize(normalize_strings(cast_types(bronze)), synonyms))
+    return rebuild_keys(standardize(normalize_strings(cast_types(bronze)), synonyms), stripped=True)
+
+
+def prepare_for_dedup(bronze: DataFrame, synonyms=None) -> DataFrame:
+    """As :func:`prepare`, with the dedup key as the only new id: the other ids are
+    functions of the same names, so they are built on the survivors."""
+    clean = standardize(normalize_strings(cast_types(bronze)), synonyms)
+    others = {k: f"source_{k}" for k in KEY_LEVELS if k != "column_id" and k in clean.columns}
+    return rebuild_keys(clean.withColumnsRenamed(others), {"column_id": KEY_LEVELS["column_id"]}, stripped=True)
+
+
+def with_all_keys(df: DataFrame) -> DataFrame:
+    """Adds the ids that :func:`prepare_for_dedup` leaves out, in the order of :func:`prepare`."""
+    others = {k: path for k, path in KEY_LEVELS.items() if k != "column_id"}
+    columns = [c for c in df.columns if c != "column_id"]
+    return rebuild_keys(df, others, stripped=True).select(*columns, *others, "column_id")
 
 
 def path_present(key: str = "column_id", levels=None) -> Column:
@@ -211,7 +223,9 @@ def build_silver(bronze: DataFrame, rubric: Rubric | None = None, synonyms=None,
     Rows with a NULL key form one group, but the partial aggregation reduces it
     to one row per input partition before the shuffle, so it is never hot.
     """
-    return silver_from_prepared(prepare(bronze, synonyms), rubric, rules)
+    rubric = rubric or production_rubric()
+    best = with_all_keys(dedup_best(prepare_for_dedup(bronze, synonyms)))
+    return certify(evaluate_rubric(best.filter(_output_rules(rules, "column_id")), rubric), rubric)
 
 
 def silver_from_prepared(prepared: DataFrame, rubric: Rubric | None = None,

@@ -1,25 +1,7 @@
-"""Size-checked broadcast and lineage cutting."""
+"""The shared folder of intermediate data."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Reference dimensions (region rules, users, rubric rows) are broadcast only
-# while they stay under this many rows; above it the join shuffles instead.
-MAX_BROADCAST_ROWS = 200_000
-
-
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True if ``df`` has at most ``limit`` rows (reads at most limit+1 rows)."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven small, else ``df`` unchanged
-    (Spark then picks a shuffle join; AQE may still broadcast at run time)."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
-
 
 def checkpoint_dir(spark) -> str | None:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``), if any."""
@@ -37,11 +19,3 @@ def ensure_checkpoint_dir(spark, fallback: str) -> str:
         spark.sparkContext.setCheckpointDir(fallback)
         d = spark.sparkContext.getCheckpointDir()
     return d
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder: cuts lineage so a
-    lost executor recomputes from the written files, not from the raw scan."""
-    if not checkpoint_dir(df.sparkSession):
-        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
-    return df.checkpoint(eager=True)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from govlens.functions.rubric import Rubric, rubric_from_conf
 from govlens.operators import access, gaps, rollups, scoring, structure
-from govlens.operators.silver import build_silver
+from govlens.operators.silver import build_silver, quarantine
 from govlens.sources import reference
 from govlens.sources.raw import bronze_from_lineitem
 
@@ -24,6 +24,10 @@ GOLD_TABLES = [
 ]
 
 
+# Written by default: all but the table of all (table, user) pairs, which is expanded on demand.
+STORED_TABLES = [t for t in GOLD_TABLES if t != "asset_access_check"]
+
+
 class Gold(dict):
     """Lazily built gold tables: each plan is declared on first access."""
 
@@ -54,7 +58,7 @@ class Gold(dict):
             "user_profile": lambda: self.users,
             "asset_access_policy": lambda: access.asset_access_policy(s, self.regions),
             "asset_access_check": lambda: access.asset_access_check(
-                self["asset_access_policy"], self.regions, self.users),
+                self["asset_access_policy"], self["user_profile"]),
         }
         if name not in builders:
             raise KeyError(name)
@@ -110,7 +114,7 @@ def write_bucketed(df: DataFrame, table: str, key: str = "table_id", buckets: in
     return df.sparkSession.table(table)
 
 
-def write_gold(gold: Gold, out_dir: str, tables=GOLD_TABLES, parallelism: int = 4,
+def write_gold(gold: Gold, out_dir: str, tables=STORED_TABLES, parallelism: int = 4,
                on_done=None) -> dict[str, DataFrame]:
     """Write gold tables as Parquet, several jobs at a time.
 
@@ -134,9 +138,10 @@ def write_gold(gold: Gold, out_dir: str, tables=GOLD_TABLES, parallelism: int =
 
 def run_pipeline(spark: SparkSession, bronze: DataFrame, out_dir: str,
                  rubric: Rubric | None = None, regions: DataFrame | None = None,
-                 users: DataFrame | None = None, tables=GOLD_TABLES,
+                 users: DataFrame | None = None, tables=STORED_TABLES,
                  silver_table: str | None = None, buckets: int = 64) -> dict[str, DataFrame]:
-    """Write silver and the gold tables under ``out_dir`` (a shared folder).
+    """Write silver, the quarantined rows and the gold tables under ``out_dir`` (a shared
+    folder); of the gold tables those of ``STORED_TABLES`` by default.
 
     With ``silver_table``, silver is saved as a catalog table bucketed by
     table_id instead of a plain Parquet folder."""
@@ -146,6 +151,6 @@ def run_pipeline(spark: SparkSession, bronze: DataFrame, out_dir: str,
     gold = gold_tables(silver, regions if regions is not None else reference.region_assignment(spark),
                        users if users is not None else reference.user_profile(spark),
                        standard=structure.standard_from_conf(spark))
-    written = {"silver": silver}
+    written = {"silver": silver, "quarantine": write_table(quarantine(bronze), f"{out_dir}/quarantine")}
     written.update(write_gold(gold, out_dir, tables))
     return written

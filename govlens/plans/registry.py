@@ -5,14 +5,15 @@ the query log). Plans are lazy; silver is declared once per (session, sf_dir).
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govlens.functions.labels import asset_location, gap_severity, health_band, maturity_tier
-from govlens.functions.rubric import check_expression, production_rubric
+from govlens.functions.rubric import check_expression, production_rubric, rubric_from_conf
 from govlens.operators import access as A
 from govlens.operators import alerts as AL
 from govlens.operators import gaps as G
@@ -20,42 +21,43 @@ from govlens.operators import silver as S
 from govlens.operators import structure as ST
 from govlens.operators.feedback import feedback_latest, feedback_stats
 from govlens.plans import semantic as SEM
-from govlens.plans.pipeline import Gold, gold_tables
+from govlens.plans.hints import ensure_checkpoint_dir
+from govlens.plans.pipeline import Gold, gold_from_sf, write_table
 from govlens.sources import reference as R
 from govlens.sources.raw import AUDIT_COLUMNS, bronze_from_lineitem, raw_from_lineitem
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_GOLD: dict[tuple[int, str], Gold] = {}
+_GOLD: dict[tuple[str, str], Gold] = {}
 
 # One production check per rule kind, compiled on its own over the valid rows.
 RULE_EXAMPLES = {"not_null": "CHK-06", "not_null_all": "CHK-11", "allowed_values": "CHK-07",
                  "ratio": "CHK-09"}
 
 
-def set_gold(spark: SparkSession, sf_dir: str, gold: Gold) -> None:
-    """Register gold plans for (spark, sf_dir), e.g. over a materialized silver."""
-    _GOLD[(id(spark), sf_dir)] = gold
-
-
 def gold_for(spark: SparkSession, sf_dir: str) -> Gold:
-    """Gold plans over one silver per (session, sf_dir). Silver is persisted
-    (memory and disk) so the registered queries share one computation; a lost
-    cached block is recomputed from its lineage."""
-    k = (id(spark), sf_dir)
+    """Gold plans over one silver per (application, sf_dir), written once to the shared
+    folder and read back, so the registered queries share it and start from files."""
+    k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _GOLD:
-        silver = S.build_silver(bronze_from_lineitem(spark, sf_dir), production_rubric())
-        silver = silver.persist(StorageLevel.MEMORY_AND_DISK)
-        _GOLD[k] = gold_tables(silver, R.region_assignment(spark), R.user_profile(spark))
+        folder = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        silver = S.build_silver(_bronze(spark, sf_dir), rubric_from_conf(spark))
+        silver = write_table(silver, f"{folder.rstrip('/')}/silver-{uuid.uuid4().hex}")
+        _GOLD[k] = gold_from_sf(spark, sf_dir, silver=silver)
     return _GOLD[k]
 
 
+def _bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test tables have one row group each: their rows are dealt over the cores."""
+    return bronze_from_lineitem(spark, sf_dir, partitions=spark.sparkContext.defaultParallelism)
+
+
 def _no_audit(df: DataFrame) -> DataFrame:
     return df.drop(*AUDIT_COLUMNS)
 
 
 def _prepared(spark, sf):
-    return S.prepare(bronze_from_lineitem(spark, sf))
+    return S.prepare(_bronze(spark, sf))
 
 
 def _gold_table(name: str) -> Query:
@@ -69,14 +71,14 @@ def _silver(spark, sf):
 QUERIES: dict[str, Query] = {
     # sources and silver steps
     "raw_scan": lambda spark, sf: raw_from_lineitem(spark, sf),
-    "null_tokens": lambda spark, sf: _no_audit(bronze_from_lineitem(spark, sf)),
-    "typed_flags": lambda spark, sf: S.cast_types(bronze_from_lineitem(spark, sf)).select(
+    "null_tokens": lambda spark, sf: _no_audit(_bronze(spark, sf)),
+    "typed_flags": lambda spark, sf: S.cast_types(_bronze(spark, sf)).select(
         F.col("column_id").alias("source_column_id"), "pii_flag", "critical_data_element_flag",
         "total_record_count", "invalid_record_count"),
     "standardized": lambda spark, sf: _no_audit(_prepared(spark, sf)),
     "surrogate_keys": lambda spark, sf: _prepared(spark, sf).select(
         "source_column_id", "database_id", "schema_id", "table_id", "column_id"),
-    "quarantine": lambda spark, sf: _no_audit(S.quarantine(bronze_from_lineitem(spark, sf))),
+    "quarantine": lambda spark, sf: _no_audit(S.quarantine(_bronze(spark, sf))),
     "expectation_counts": lambda spark, sf: S.expectation_counts(_prepared(spark, sf)),
     "dedup_best": lambda spark, sf: _no_audit(S.dedup_best(_prepared(spark, sf))),
     "silver": lambda spark, sf: _no_audit(_silver(spark, sf)),
@@ -87,10 +89,10 @@ QUERIES: dict[str, Query] = {
     "achieved_cert_level": lambda spark, sf: _silver(spark, sf).select(
         "column_id", "achieved_cert_level"),
     "check_results": lambda spark, sf: G.check_results(_silver(spark, sf)),
-    "typed_counts": lambda spark, sf: S.cast_types(bronze_from_lineitem(spark, sf)).select(
+    "typed_counts": lambda spark, sf: S.cast_types(_bronze(spark, sf)).select(
         F.col("column_id").alias("source_column_id"), "total_record_count", "invalid_record_count"),
-    "normalized_strings": lambda spark, sf: _no_audit(S.normalize_strings(
-        S.cast_types(bronze_from_lineitem(spark, sf)))),
+    "normalized_strings": lambda spark, sf: S.normalize_strings(
+        S.cast_types(raw_from_lineitem(spark, sf))),
     "silver_valid": lambda spark, sf: _no_audit(S.expected_rows(_prepared(spark, sf))),
     "rubric_checks": lambda spark, sf: _silver(spark, sf).select(
         "column_id", *production_rubric().check_columns),
@@ -108,7 +110,7 @@ QUERIES: dict[str, Query] = {
     "region_assignment": lambda spark, sf: A.region_rules_in_use(
         _silver(spark, sf), gold_for(spark, sf)["region_assignment"]),
     "user_access_summary": lambda spark, sf: A.user_access_summary(
-        gold_for(spark, sf)["asset_access_check"]),
+        gold_for(spark, sf)["asset_access_policy"], gold_for(spark, sf)["user_profile"]),
     "modal_standard": lambda spark, sf: ST.modal_standard(ST.table_column_counts(_silver(spark, sf))),
     "structural_override": lambda spark, sf: ST.structural_consistency(_silver(spark, sf), standard=8),
     # gaps and checklists
@@ -132,6 +134,10 @@ QUERIES: dict[str, Query] = {
        for n in SEM.FILTERS},
     **{f"measure_{n}": (lambda n: lambda spark, sf: SEM.measure(gold_for(spark, sf), n))(n)
        for n in SEM.MEASURES},
+    "measure_certified_by_domain": lambda spark, sf: SEM.measure(
+        gold_for(spark, sf), "certified", by=["domain"]),
+    "measure_completeness_by_steward": lambda spark, sf: SEM.measure(
+        gold_for(spark, sf), "completeness", by=["data_steward"]),
     **{f"join_{n}": (lambda fn: lambda spark, sf: fn(gold_for(spark, sf)))(fn)
        for n, fn in SEM.JOINS.items()},
     **{f"q_{n}": (lambda fn: lambda spark, sf: fn(gold_for(spark, sf)))(fn)
@@ -155,8 +161,9 @@ QUERIES: dict[str, Query] = {
         gold_for(spark, sf)["dlt_summary"], gold_for(spark, sf)["structural_summary"],
         gold_for(spark, sf)["governance_gaps"]),
         spark.createDataFrame([("pii_inconsistent",)], "rule_id string")).drop("fired_at"),
-    "pipeline_status": lambda spark, sf: AL.pipeline_status(gold_for(spark, sf)["dlt_summary"],
-                                                            gold_for(spark, sf)["structural_summary"]),
+    "pipeline_status": lambda spark, sf: AL.pipeline_status(
+        gold_for(spark, sf)["dlt_summary"], gold_for(spark, sf)["structural_summary"],
+        source="lineitem", checks=len(rubric_from_conf(spark).checks)),
     "pipeline_totals": lambda spark, sf: AL.pipeline_totals(gold_for(spark, sf)["dlt_summary"],
                                                             gold_for(spark, sf)["structural_summary"]),
     # assistant monitoring

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 from govlens.functions.exact import finish, half_up_div
 from govlens.functions.labels import asset_location, health_band, maturity_tier
-from govlens.plans.hints import bounded_broadcast
+from govlens.operators.gaps import gap_reason_column
+from govlens.operators.rollups import domain_column
+from govlens.operators.scoring import PROFILE_COLUMNS
+from govlens.operators.access import CHECK_COLUMNS, access_pairs
 
 Gold = dict  # name -> DataFrame (see plans.pipeline.Gold)
 
+# Derived fields: usable as grouping keys of measures on tables that have their inputs.
 FIELDS: dict[str, Callable[[], Column]] = {
+    "domain": domain_column,
     "asset_location": asset_location,
     "health_band": health_band,
     "maturity_tier": maturity_tier,
@@ -43,16 +48,16 @@ def _avg_cents(col: str) -> Column:
     return F.sum(F.round(c * 100).cast("bigint")) / F.count(c) / 100
 
 
-def _avg_completeness(checks_total: int = 11) -> Column:
-    """Average completeness from the integer count of passed checks."""
-    passed = F.round(F.col("completeness_pct") * checks_total / 100).cast("bigint")
-    return F.sum(passed) * 100 / (F.count("completeness_pct") * checks_total)
+def _avg_completeness() -> Column:
+    """Average completeness from the integer counts of checks passed and made, so it holds
+    for a rubric of any size and does not depend on summation order."""
+    return F.try_divide(F.sum("checks_passed").cast("bigint") * 100, F.sum("checks_total").cast("bigint"))
 
 
 # name -> (gold table, aggregate)
 MEASURES: dict[str, tuple[str, Callable[[], Column]]] = {
     "governance_score": ("table_governance", lambda: _avg_cents("table_governance_score")),
-    "completeness": ("profile", lambda: _avg_completeness()),
+    "completeness": ("scores_pre", lambda: _avg_completeness()),
     "quality": ("profile", lambda: F.avg(100 - F.col("dq_invalid_pct"))),
     "gap_count": ("governance_gaps", lambda: F.count("column_id")),
     "registered": ("profile", lambda: _count_when(F.col("achieved_cert_level") == "Registered")),
@@ -75,16 +80,31 @@ def apply_filter(gold: Gold, name: str) -> DataFrame:
     return gold[table].filter(pred())
 
 
-def measure(gold: Gold, name: str, *filters: str) -> DataFrame:
-    """One-row frame with the measure, optionally scoped by filters on the same table."""
+# Tables of one row per column that have all columns of the profile.
+COLUMN_GRAIN = ("profile", "scores_pre")
+
+
+def measure(gold: Gold, name: str, *filters: str, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The measure, scoped by filters on the same table; one row, or one per value of ``by``.
+
+    ``by`` names columns of the measure's table or derived fields (``FIELDS``). Measures on
+    the profile group by any column of the silver table (e.g. ``tag_value``, ``table_id``)."""
     table, agg = MEASURES[name]
+    if by and table == "profile":
+        table = "scores_pre"
     df = gold[table]
     for f in filters:
         ftable, pred = FILTERS[f]
-        if ftable != table:
+        if ftable != table and not {ftable, table} <= set(COLUMN_GRAIN):
             raise ValueError(f"filter {f} applies to {ftable}, measure {name} to {table}")
         df = df.filter(pred())
-    return df.agg(agg().alias(f"measure_{name}"))
+    value = agg().alias(f"measure_{name}")
+    if not by:
+        return df.agg(value)
+    unknown = [b for b in by if b not in FIELDS and b not in df.columns]
+    if unknown:
+        raise ValueError(f"measure {name}: {table} has no field {', '.join(unknown)}")
+    return df.groupBy(*[FIELDS[b]().alias(b) if b in FIELDS else F.col(b) for b in by]).agg(value)
 
 
 # ---------------------------------------------------------------- joins
@@ -93,16 +113,15 @@ PATH = ["system_name", "database_name", "schema_name", "table_name"]
 
 
 def join_profile_governance(gold: Gold) -> DataFrame:
-    """Column rows with their table's governance scores.
-
-    Joined on the full path plus the steward (table_governance is grouped by
-    steward), null-safe, so a table name shared by several systems does not
-    multiply rows."""
-    p, g = gold["profile"], gold["table_governance"]
-    keys = PATH + ["data_steward"]
-    g = g.select(*[F.col(k).alias(f"g_{k}") for k in keys], "table_id", "table_desc",
-                 "column_count", "table_governance_score", "avg_documentation_score",
-                 "avg_quality_score", "pii_column_count", "critical_column_count")
+    """Column rows with their table's governance scores: one row per column.
+
+    Joined null-safe on all keys that table_governance is grouped by (path, table id,
+    description and steward), so neither a name shared by several systems nor several
+    descriptions of one table multiply rows."""
+    p, g = gold["scores_pre"].select(*PROFILE_COLUMNS, "table_id", "table_desc"), gold["table_governance"]
+    keys = PATH + ["data_steward", "table_id", "table_desc"]
+    g = g.select(*[F.col(k).alias(f"g_{k}") for k in keys], "column_count", "table_governance_score",
+                 "avg_documentation_score", "avg_quality_score", "pii_column_count", "critical_column_count")
     cond = None
     for k in keys:
         c = p[k].eqNullSafe(g[f"g_{k}"])
@@ -110,6 +129,15 @@ def join_profile_governance(gold: Gold) -> DataFrame:
     return p.join(g, cond, "left").drop(*[f"g_{k}" for k in keys])
 
 
+def join_profile_governance_declared(gold: Gold) -> DataFrame:
+    """The join as the model declares it, on ``table_name`` alone: a name that several
+    governance rows share pairs with each of them."""
+    g = gold["table_governance"].select(
+        "table_name", F.col("table_id").alias("governance_table_id"), "table_governance_score",
+        "avg_documentation_score", "avg_quality_score")
+    return gold["profile"].join(g, "table_name", "inner")
+
+
 def join_profile_structure(gold: Gold) -> DataFrame:
     s = gold["table_structure"].select(
         "column_id", "database_id", "schema_id", "table_id", "location", "table_desc", "column_desc")
@@ -122,18 +150,22 @@ def join_profile_gaps(gold: Gold) -> DataFrame:
 
 
 def join_access_user(gold: Gold) -> DataFrame:
-    u = gold["user_profile"].select("user_email", "user_country", "employee_location")
-    return gold["asset_access_check"].join(bounded_broadcast(u), "user_email", "inner")
+    """Access rows with the user's country and location, which the pairs carry along."""
+    return access_pairs(gold["asset_access_policy"], gold["user_profile"],
+                        user_columns=("user_country", "employee_location")).select(
+        *CHECK_COLUMNS, "user_country", "employee_location")
 
 
 def join_access_policy(gold: Gold) -> DataFrame:
-    """Access rows with their policy, on table_id (table_name is not unique)."""
-    p = gold["asset_access_policy"].select("table_id", "database_name", "schema_name")
-    return gold["asset_access_check"].join(p, "table_id", "inner")
+    """Access rows with the database and schema of their policy row (one per table_id;
+    table_name is not unique)."""
+    return access_pairs(gold["asset_access_policy"], gold["user_profile"]).select(
+        *CHECK_COLUMNS, "database_name", "schema_name")
 
 
 JOINS = {
     "profile_governance": join_profile_governance,
+    "profile_governance_declared": join_profile_governance_declared,
     "profile_structure": join_profile_structure,
     "profile_gaps": join_profile_gaps,
     "access_user": join_access_user,
@@ -142,7 +174,7 @@ JOINS = {
 
 # ---------------------------------------------------------------- questions
 
-TG_ORDER = ["table_id", "system_name", "database_name", "schema_name", "table_desc",
+TG_ORDER = ["table_id", "system_name", "database_name", "schema_name", "table_name", "table_desc",
             "data_steward"]
 
 
@@ -187,20 +219,18 @@ def q_stewards(gold: Gold) -> DataFrame:
 
 
 def q_dq_issues(gold: Gold) -> DataFrame:
-    return (apply_filter(gold, "dq_fail").select("table_name", "column_name", "dq_invalid_pct")
-            .orderBy(F.col("dq_invalid_pct").desc()))
+    return (apply_filter(gold, "dq_fail").orderBy(F.col("dq_invalid_pct").desc(), "column_id")
+            .select("table_name", "column_name", "dq_invalid_pct"))
 
 
-def q_completeness_by_table(gold: Gold, checks_total: int = 11) -> DataFrame:
+def q_completeness_by_table(gold: Gold) -> DataFrame:
     """Average completeness per table name, rounded exactly (completeness is
     checks passed / checks total, so the average is a ratio of integer sums)."""
-    p = gold["profile"].withColumn(
-        "__passed", F.round(F.col("completeness_pct") * F.lit(checks_total) / 100).cast("bigint"))
-    agg = p.groupBy("table_name").agg(F.sum("__passed").alias("s"), F.count("__passed").alias("n"))
-    val = (half_up_div(F.col("s") * 10000, F.col("n") * checks_total) / 100).alias(
-        "avg_completeness_pct")
+    agg = gold["scores_pre"].groupBy("table_name").agg(
+        F.sum("checks_passed").cast("bigint").alias("s"), F.sum("checks_total").cast("bigint").alias("n"))
+    val = (half_up_div(F.col("s") * 10000, F.col("n")) / 100).alias("avg_completeness_pct")
     return finish(agg, [val], ["table_name", "avg_completeness_pct"]).orderBy(
-        F.col("avg_completeness_pct").desc())
+        F.col("avg_completeness_pct").desc(), "table_name")
 
 
 def q_kpis(gold: Gold) -> DataFrame:
@@ -229,30 +259,28 @@ def q_access(gold: Gold, table_name: str = "tbl_1", user_email: str = "u1@exampl
 
 
 def q_restricted(gold: Gold) -> DataFrame:
-    return (apply_filter(gold, "restricted")
+    return (apply_filter(gold, "restricted").orderBy("asset_region", "table_name", "table_id")
             .select("table_name", "asset_region", "allowed_region", "required_access_group",
-                    "policy_rationale")
-            .orderBy("asset_region", "table_name"))
+                    "policy_rationale"))
 
 
 def q_cert_by_table(gold: Gold) -> DataFrame:
-    return (gold["cert_level_summary"]
+    return (gold["cert_level_summary"].orderBy(F.col("certified_pct").desc(), "table_id", *PATH)
             .select("table_name", "column_count", "certified_columns", "documented_columns",
-                    "registered_columns", "unclassified_columns", "certified_pct")
-            .orderBy(F.col("certified_pct").desc()))
+                    "registered_columns", "unclassified_columns", "certified_pct"))
 
 
 def q_domains(gold: Gold) -> DataFrame:
     return (gold["domain_summary"]
             .select("domain", "table_count", "column_count", "avg_governance_score", "certified_pct")
-            .orderBy(F.col("avg_governance_score").desc()))
+            .orderBy(F.col("avg_governance_score").desc(), "domain"))
 
 
 def q_classification(gold: Gold) -> DataFrame:
     return (gold["pii_classification_summary"]
             .select("classification", "column_count", "pii_columns", "critical_columns",
                     "pct_of_catalog", "sensitivity_coverage_pct")
-            .orderBy(F.col("column_count").desc()))
+            .orderBy(F.col("column_count").desc(), "classification"))
 
 
 def q_structural_issues(gold: Gold) -> DataFrame:
@@ -287,9 +315,10 @@ def q_glossary(gold: Gold) -> DataFrame:
 
 
 def q_table_health(gold: Gold) -> DataFrame:
-    """Per governance row: score, health band and number of columns with gaps."""
-    gap_tables = (gold["governance_gaps"].select("column_id")
-                  .join(gold["table_structure"].select("column_id", "table_id"), "column_id")
+    """Per governance row: score, health band and number of columns with gaps in the whole
+    table (the same number on each of a table's rows). Gaps are counted per table where
+    the checks are, without joining the gap list back."""
+    gap_tables = (gold["scores_pre"].filter(gap_reason_column() != "")
                   .groupBy("table_id").agg(F.count("*").alias("gap_columns")))
     tg = gold["table_governance"]
     return (tg.join(gap_tables, "table_id", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from govlens.functions.text import token_to_null
+from govlens.sources.reference import REGION_ASSIGNMENT
 
 # The 26 raw columns in source order.
 RAW_COLUMNS = [
@@ -75,12 +76,20 @@ def to_bronze(df: DataFrame, tokens=NULL_TOKENS, source: str | None = None) -> D
     return with_audit_columns(out, source)
 
 
-def read_raw_csv(spark: SparkSession, path: str, tokens=NULL_TOKENS) -> DataFrame:
-    """Distributed CSV scan of raw catalog rows, all strings, selected by header name."""
-    reader = (spark.read.option("header", True).option("multiLine", True)
-              .option("escape", '"').option("inferSchema", False)
-              .option("mode", "PERMISSIVE"))
-    df = reader.csv(path)
+def read_raw_csv(spark: SparkSession, path: str, tokens=NULL_TOKENS, multi_line: bool = False) -> DataFrame:
+    """Distributed CSV scan of raw catalog rows, all strings, selected by header name.
+
+    The columns' order comes from one file's header; every file's header must then be the
+    same (``enforceSchema`` off: Spark compares each file's header and fails the job if it
+    differs), so no value is ever bound to another column. Files are split unless
+    ``multi_line`` (values with line ends) needs them whole.
+    """
+    def reader():
+        return (spark.read.option("header", True).option("multiLine", multi_line)
+                .option("escape", '"').option("mode", "PERMISSIVE"))
+
+    header = StructType([StructField(c, StringType(), True) for c in reader().csv(path).columns])
+    df = reader().schema(header).option("enforceSchema", False).csv(path)
     out = apply_null_tokens(select_raw_columns(df), tokens)
     return out.withColumns({
         "_ingestion_timestamp": F.current_timestamp(),
@@ -88,21 +97,11 @@ def read_raw_csv(spark: SparkSession, path: str, tokens=NULL_TOKENS) -> DataFram
     })
 
 
-def write_raw_csv(df: DataFrame, path: str) -> None:
-    """Write raw rows as headered CSV (used for round trips and fixtures)."""
-    (select_raw_columns(df).write.mode("overwrite").option("header", True)
-     .option("escape", '"').csv(path))
-
-
 # Raw columns derived from one lineitem row (expressions shared by Spark SQL
 # and DuckDB; see FIXTURES.md). o/n/p/s/q are the order key, line number, part
 # key, supplier key and quantity.
-_POLICY_DATABASES = ("finance_dw", "finance_mart", "billing", "erp", "crm", "customer360",
-                     "cdp", "hr_mart", "people_ops", "analytics", "lakehouse", "core_db")
-
-
 def _database_case() -> str:
-    arms = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(_POLICY_DATABASES))
+    arms = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(r[0] for r in REGION_ASSIGNMENT))
     return (f"CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE CASE l_partkey % 14 {arms} "
             f"WHEN 12 THEN 'sandbox' ELSE 'Finance_DW' END END")
 
@@ -120,7 +119,8 @@ LINEITEM_RAW_EXPRS = {
     "security_classification": "CASE l_suppkey % 6 WHEN 0 THEN 'Conf' WHEN 1 THEN 'Confidential' "
                                "WHEN 2 THEN 'Internal' WHEN 3 THEN 'Public' "
                                "WHEN 4 THEN 'TopSecret' ELSE '  ' END",
-    "critical_data_element_flag": "CASE WHEN l_orderkey % 7 = 0 THEN 'nan' ELSE 'false' END",
+    "critical_data_element_flag": "CASE WHEN l_orderkey % 7 = 0 THEN 'nan' "
+                                  "WHEN l_partkey % 11 = 0 THEN 'true' ELSE 'false' END",
     "pii_flag": "CASE l_linenumber % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'FALSE' "
                 "WHEN 2 THEN 'yes' ELSE '' END",
     "term_subdomain": "CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE concat('sub_', l_suppkey % 4) END",
@@ -151,24 +151,18 @@ LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                     "l_quantity", "l_extendedprice", "l_discount"]
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over the cluster when a scan yields fewer splits than
-    cores (e.g. one unsplittable Parquet row group); otherwise unchanged.
-
-    Applied to the narrow numeric scan, before the wide string work, so the
-    shuffle moves little data. Large inputs already have enough splits.
-    """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
+def raw_from_lineitem(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """Raw (untyped, uncleaned) catalog rows, one per lineitem row.
 
-def raw_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw (untyped, uncleaned) catalog rows, one per lineitem row."""
-    li = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS))
+    ``partitions`` deals the narrow numeric scan round robin first: for inputs of fewer
+    splits than cores (one row group); by default the scan's own splits are used."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS)
+    li = li.repartition(partitions) if partitions else li
     return li.selectExpr(*[f"CAST({e} AS STRING) AS {c}" for c, e in LINEITEM_RAW_EXPRS.items()])
 
 
-def bronze_from_lineitem(spark: SparkSession, sf_dir: str, tokens=NULL_TOKENS) -> DataFrame:
+def bronze_from_lineitem(spark: SparkSession, sf_dir: str, tokens=NULL_TOKENS,
+                         partitions: int | None = None) -> DataFrame:
     """Bronze rows (null tokens applied, audit columns added) from lineitem."""
-    raw = raw_from_lineitem(spark, sf_dir)
+    raw = raw_from_lineitem(spark, sf_dir, partitions)
     return with_audit_columns(apply_null_tokens(raw, tokens), f"{sf_dir}/lineitem.parquet")

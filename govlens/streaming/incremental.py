@@ -17,31 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govlens.functions.rubric import Rubric
-from govlens.operators.silver import (
-    GOVERNANCE_FIELDS, completeness_count, prepare, silver_from_prepared,
-)
-from govlens.sources.raw import (
-    NULL_TOKENS, RAW_COLUMNS, apply_null_tokens, raw_schema, select_raw_columns,
-)
-
-
-def _check_header(spark: SparkSession, landing: str) -> None:
-    """Streaming CSV binds the schema by position: check names on files already there."""
-    try:
-        existing = spark.read.option("header", True).csv(landing)
-    except Exception:  # empty folder: nothing to check yet
-        return
-    select_raw_columns(existing)
-    if existing.columns[:len(RAW_COLUMNS)] != RAW_COLUMNS:
-        raise ValueError("raw CSV header must list the raw columns in source order")
+from govlens.operators.silver import best_first, prepare, silver_from_prepared
+from govlens.sources.raw import NULL_TOKENS, apply_null_tokens, raw_schema
 
 
 def bronze_stream(spark: SparkSession, landing: str, bronze_dir: str, checkpoint: str,
-                  tokens=NULL_TOKENS, max_files_per_trigger: int | None = None):
-    """Start an available-now stream from raw CSV files to bronze Parquet."""
-    _check_header(spark, landing)
-    reader = (spark.readStream.schema(raw_schema()).option("header", True)
-              .option("multiLine", True).option("escape", '"'))
+                  tokens=NULL_TOKENS, max_files_per_trigger: int | None = None,
+                  multi_line: bool = False):
+    """Start an available-now stream from raw CSV files to bronze Parquet.
+
+    Every file's header must list the raw columns in source order (``enforceSchema`` off:
+    Spark compares it file by file); a file with another header fails the stream."""
+    reader = (spark.readStream.schema(raw_schema()).option("header", True).option("enforceSchema", False)
+              .option("multiLine", multi_line).option("escape", '"'))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(landing)
@@ -53,12 +41,6 @@ def bronze_stream(spark: SparkSession, landing: str, bronze_dir: str, checkpoint
             .trigger(availableNow=True).start(bronze_dir))
 
 
-def _best_struct(cols: list[str], key: str, tiebreak=("source_column_id",)):
-    rest = [c for c in cols if c != key and c not in tiebreak]
-    return F.struct((-completeness_count(GOVERNANCE_FIELDS)).alias("__neg_completeness"),
-                    *[F.col(c) for c in tiebreak], *[F.col(c) for c in rest])
-
-
 def best_snapshot_stream(spark: SparkSession, bronze_dir: str, updates_dir: str,
                          checkpoint: str, bronze_schema=None, synonyms=None):
     """Start an available-now stream keeping the best snapshot per asset id.
@@ -70,7 +52,7 @@ def best_snapshot_stream(spark: SparkSession, bronze_dir: str, updates_dir: str,
     schema = bronze_schema or spark.read.parquet(bronze_dir).schema
     typed = prepare(spark.readStream.schema(schema).parquet(bronze_dir), synonyms)
     cols = typed.columns
-    best = typed.groupBy("column_id").agg(F.min(_best_struct(cols, "column_id")).alias("__best"))
+    best = typed.groupBy("column_id").agg(F.min(best_first(cols, "column_id")).alias("__best"))
     flat = best.select(*[F.col("column_id") if c == "column_id" else F.col(f"__best.{c}").alias(c)
                          for c in cols])
 

@@ -344,12 +344,12 @@ def _sql_queries() -> dict[str, str]:
     casts = []
     for c in BRONZE_COLS:
         if c in ("pii_flag", "critical_data_element_flag"):
-            casts.append(f"{to_bool(c)} AS {c}")
+            casts.append(f"{to_bool(f'trim({c}, {WS})')} AS {c}")
         elif c in ("total_record_count", "invalid_record_count"):
             casts.append(f"TRY_CAST(trunc(TRY_CAST({c} AS DOUBLE)) AS BIGINT) AS {c}")
         else:
-            casts.append(c)
-    s["normalized_strings"] = "SELECT " + ", ".join(casts) + " FROM bronze"
+            casts.append(f"nullif(trim({c}, {WS}), '') AS {c}")
+    s["normalized_strings"] = "SELECT " + ", ".join(casts) + " FROM raw"
     s["silver_valid"] = "SELECT * FROM dedup"
     s["rubric_checks"] = "SELECT column_id, " + ", ".join(c for c, _ in CHECKS) + " FROM silver"
     rule_sql = {"not_null": "data_steward IS NOT NULL",
@@ -397,7 +397,7 @@ def _band(c: str = "table_governance_score") -> str:
 
 
 _TG_TIE = ("table_id ASC NULLS FIRST, system_name ASC NULLS FIRST, database_name ASC NULLS FIRST, "
-           "schema_name ASC NULLS FIRST, table_desc ASC NULLS FIRST, data_steward ASC NULLS FIRST")
+           "schema_name ASC NULLS FIRST, table_name ASC NULLS FIRST, table_desc ASC NULLS FIRST, data_steward ASC NULLS FIRST")
 _SEV_REASON = _sev
 _SEV_GAP = _sev.replace("coalesce(reason, '')", "coalesce(gap_reason, '')")
 _DOMAIN_REASONS = (f"SELECT {_domain} AS domain, data_steward, unnest(string_split(gap_reason, ', ')) AS reason "
@@ -482,12 +482,22 @@ def _more_sql() -> dict[str, str]:
     }
     for n, (t, e) in measures.items():
         s[f"measure_{n}"] = f"SELECT {e} AS measure_{n} FROM {t}"
-    keys = ["system_name", "database_name", "schema_name", "table_name", "data_steward"]
+    keys = ["system_name", "database_name", "schema_name", "table_name", "data_steward", "table_id", "table_desc"]
     on = " AND ".join(f"p.{k} IS NOT DISTINCT FROM g.{k}" for k in keys)
     s["join_profile_governance"] = (
-        f"SELECT p.*, g.table_id, g.table_desc, g.column_count, g.table_governance_score, "
+        f"SELECT p.*, g.column_count, g.table_governance_score, "
         f"g.avg_documentation_score, g.avg_quality_score, g.pii_column_count, g.critical_column_count "
-        f"FROM profile p LEFT JOIN table_governance g ON {on}")
+        f"FROM (SELECT f.*, t.table_id, t.table_desc FROM profile f JOIN table_structure t USING (column_id)) p "
+        f"LEFT JOIN table_governance g ON {on}")
+    s["join_profile_governance_declared"] = (
+        "SELECT p.*, g.table_id AS governance_table_id, g.table_governance_score, g.avg_documentation_score, "
+        "g.avg_quality_score FROM profile p JOIN table_governance g ON p.table_name = g.table_name")
+    s["measure_certified_by_domain"] = (
+        "SELECT coalesce(tag_value, term_subdomain, 'Unassigned') AS domain, "
+        "count(CASE WHEN achieved_cert_level = 'Certified' THEN 1 END) AS measure_certified FROM profile GROUP BY ALL")
+    s["measure_completeness_by_steward"] = (
+        "SELECT data_steward, CAST(sum(checks_passed) AS BIGINT) * 100 / (count(checks_passed) * 11) "
+        "AS measure_completeness FROM silver GROUP BY ALL")
     s["join_profile_structure"] = (
         "SELECT * FROM profile JOIN (SELECT column_id, database_id, schema_id, table_id, location, "
         "table_desc, column_desc FROM table_structure) USING (column_id)")
@@ -614,7 +624,7 @@ def _more_sql() -> dict[str, str]:
                        f"WHERE triggered AND rule_id <> 'pii_inconsistent'")
     fmt = "format('{:,}', p + f)"
     steps = [
-        ("Bronze ingestion", "'ok'", f"{fmt} || ' rows ingested from Azure Blob'"),
+        ("Bronze ingestion", "'ok'", f"{fmt} || ' rows ingested from lineitem'"),
         ("Silver validation", "CASE WHEN f > 0 THEN 'warn' ELSE 'ok' END",
          f"CASE WHEN f > 0 THEN CAST(f AS VARCHAR) || ' rows exceed DQ threshold · routed to quarantine' "
          f"ELSE 'All ' || {fmt} || ' rows pass DQ threshold' END"),
