@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from govlens.llm.common import ship, texts, written
 from govlens.llm.words import hashed_words, mix, word_hash
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 BUCKET_BYTES = 8_000_000  # of text, for each hash bucket of n-grams
 RESIDUE = 40  # bits of a bigram's hash below its bucket's: collisions of 1 in 10^7 at any size
 GRID = 4  # steps of a probability's binary logarithm in the held-out histogram
