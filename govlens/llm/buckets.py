@@ -17,6 +17,9 @@ from govlens.llm.common import likely, written
 from govlens.llm.components import connected_components
 
 
+KEY_MARKS = 1 << 22  # keys are many: a larger set, of some 64 MB at most
+
+
 def _ordered(x: str, y: str):
     return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
@@ -27,7 +30,7 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     ends = (buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
             .filter(F.col("lo") < F.col("hi")))
     ends = written(ends, "shared-buckets")
-    return written(likely(buckets, "key", ends).join(ends.hint("merge"), "key"), "members")
+    return written(likely(buckets, "key", ends, KEY_MARKS).join(ends.hint("merge"), "key"), "members")
 
 
 def components_of_buckets(members: DataFrame, links_of: Callable[[DataFrame], DataFrame],

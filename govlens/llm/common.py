@@ -45,23 +45,23 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def marked(df: DataFrame, key: str, needed: DataFrame) -> DataFrame:
+def marked(df: DataFrame, key: str, needed: DataFrame, size: int = MARKS) -> DataFrame:
     """``df`` with boolean column ``marked``: true wherever the long ``key`` is in ``needed``
     (column of the same name), and for few other keys while those are few.
 
-    The broadcast set holds remainders of the needed keys' hashes, so it has at most MARKS
+    The broadcast set holds remainders of the needed keys' hashes, so it has at most ``size``
     rows whatever the size of ``needed``; it spares rows a shuffle and decides nothing."""
     def mark():
-        return F.pmod(F.xxhash64(key), F.lit(MARKS)).cast("int").alias("_mark")
+        return F.pmod(F.xxhash64(key), F.lit(size)).cast("int").alias("_mark")
 
     marks = needed.select(mark()).distinct().withColumn("marked", F.lit(True))
     return (df.withColumn("_mark", mark()).join(F.broadcast(marks), "_mark", "left").drop("_mark")
             .withColumn("marked", F.coalesce("marked", F.lit(False))))
 
 
-def likely(df: DataFrame, key: str, needed: DataFrame) -> DataFrame:
+def likely(df: DataFrame, key: str, needed: DataFrame, size: int = MARKS) -> DataFrame:
     """The marked rows: all whose key is in ``needed``, and few others."""
-    return marked(df, key, needed).filter("marked").drop("marked")
+    return marked(df, key, needed, size).filter("marked").drop("marked")
 
 
 def among(df: DataFrame, key: str, needed: DataFrame) -> DataFrame:
