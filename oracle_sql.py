@@ -9,14 +9,54 @@ Spark's half-up rounding of a double's decimal text (``sround``).
 
 from __future__ import annotations
 
-from govlens.functions.labels import GAP_SEVERITY_DEFAULT, GAP_SEVERITY_RULES
-from govlens.operators import access as A
-from govlens.operators import alerts as AL
-from govlens.operators import structure as ST
-from govlens.operators.gaps import GAP_REASONS
-from govlens.sources.raw import LINEITEM_RAW_EXPRS, NULL_TOKENS, RAW_COLUMNS
+from types import SimpleNamespace
+
+# Inputs, shared on purpose: the adapter that makes raw rows of lineitem, the region policy,
+# the synthetic users and the query log's constants.
+from govlens.sources.raw import LINEITEM_RAW_EXPRS
 from govlens.sources.reference import LOG_VERSION, REGION_ASSIGNMENT, TS_BASE, USERS
 
+# Fixed values, stated here once more so that the oracle does not follow the code it checks.
+RAW_COLUMNS = [
+    "column_id", "column_name", "column_desc", "term_name", "term_description", "security_classification",
+    "critical_data_element_flag", "pii_flag", "term_subdomain", "data_steward", "table_id", "table_name",
+    "table_desc", "table_owner_in_source", "schema_id", "schema_name", "database_id", "database_name",
+    "system_id", "system_name", "location", "total_record_count", "invalid_record_count", "tag_name",
+    "tag_value", "certification_level"]
+NULL_TOKENS = ["", "nan", "NaN", "NAN", "null", "NULL", "None", "none", "NA", "N/A", "#N/A", "#N/A N/A", "#NA",
+               "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "n/a"]
+GAP_REASONS = [
+    ("column_description_present", "Missing column description"),
+    ("business_term_linked", "Missing business term"),
+    ("security_classification_present", "Missing or invalid security classification"),
+    ("data_steward_assigned", "Missing data steward"),
+    ("domain_tag_present", "Missing domain tag"),
+    ("sensitivity_flags_set", "PII or CDE flag is null"),
+    ("certification_level_populated", "Missing or invalid certification level"),
+    ("schema_assignment_valid", "Invalid schema assignment"),
+    ("invalid_record_ratio_within_threshold", "Data quality failed: invalid record ratio exceeds 5%"),
+]
+GAP_SEVERITY_RULES = [("steward", "Critical"), ("pii", "Critical"), ("sensitivity", "Critical"), ("quality", "High"),
+                      ("security", "High"), ("classification", "High"), ("domain", "Medium"),
+                      ("description", "Medium"), ("term", "Medium")]
+GAP_SEVERITY_DEFAULT = "Medium"
+ST = SimpleNamespace(
+    TOLERANCE=0.30, TOO_FEW="Outlier: too few columns", TOO_MANY="Outlier: too many columns", COMPLIANT="Compliant",
+    ACTION_FEW=". Verify no columns were dropped during ingestion and that all source fields are catalogued.",
+    ACTION_MANY=". Review for redundant, duplicated, or mis-assigned columns and consider normalizing.",
+    ACTION_NONE="No action required; table is within the structural standard.")
+A = SimpleNamespace(
+    DEFAULT_POLICY={
+        "asset_region": "UNRESTRICTED", "required_access_group": "ALL_EMPLOYEES", "allowed_region": "Any",
+        "policy_rationale": "No explicit region policy for this database; defaulted to UNRESTRICTED. "
+                            "Governance should add a rule."},
+    REASON_OPEN="Asset is unrestricted; available to all employees.",
+    REASON_MATCH="User's region and access group match the asset's data-residency policy.",
+    REASON_DENY="Asset is restricted to its region; user's region or access group does not match.")
+AL = SimpleNamespace(
+    SQL_ALERTS=[("Data Quality Below 95%",), ("Metadata Completeness Below 90%",), ("Structural Consistency Below 85%",)],
+    DEFAULT_OWNER="governance-team@example.com")
+
 WS = "(' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
 
 

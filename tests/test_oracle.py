@@ -17,7 +17,8 @@ KEYS = [
     "q_lowest_scores", "q_access", "q_table_health", "q_why_restricted", "rule_alerts",
     "pipeline_status", "feedback_latest", "feedback_stats", "region_assignment",
     "user_access_summary", "q_tables_missing_steward", "q_table_certification", "rule_ratio",
-    "silver_valid", "normalized_strings",
+    "silver_valid", "normalized_strings", "measure_certified_by_domain", "measure_completeness_by_steward",
+    "join_profile_governance_declared", "q_cde", "filter_cde", "q_completeness_by_table",
 ]
 
 
