@@ -53,14 +53,14 @@ def main() -> None:
         return r
 
     # warm-up: JVM, parquet reader and codegen on the smallest input
-    warm = build_silver(bronze_from_lineitem(spark, "/root/testdata/sf0.001"))
+    warm = build_silver(bronze_from_lineitem(spark, "/root/testdata/sf0.001"), stripped=True)
     warm.write.format("noop").mode("overwrite").save()
 
     t0 = time.time()
     buckets = cpus * 2
     table = f"bench_silver_{int(time.time())}"
     timed("raw_to_silver", lambda: write_bucketed(
-        build_silver(bronze_from_lineitem(spark, sf_dir, partitions=cpus * 2)), table, buckets=buckets,
+        build_silver(bronze_from_lineitem(spark, sf_dir, partitions=cpus * 2), stripped=True), table, buckets=buckets,
         path=f"{out}/silver"))
     silver = spark.table(table)
     gold = gold_tables(silver, R.region_assignment(spark), R.user_profile(spark))

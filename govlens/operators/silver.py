@@ -174,10 +174,12 @@ def prepare(bronze: DataFrame, synonyms=None) -> DataFrame:
     return rebuild_keys(standardize(normalize_strings(cast_types(bronze)), synonyms), stripped=True)
 
 
-def prepare_for_dedup(bronze: DataFrame, synonyms=None) -> DataFrame:
+def prepare_for_dedup(bronze: DataFrame, synonyms=None, stripped: bool = False) -> DataFrame:
     """As :func:`prepare`, with the dedup key as the only new id: the other ids are
-    functions of the same names, so they are built on the survivors."""
-    clean = standardize(normalize_strings(cast_types(bronze)), synonyms)
+    functions of the same names, so they are built on the survivors. ``stripped`` says that
+    the bronze strings are stripped and never empty, as ``to_bronze`` leaves them."""
+    typed = cast_types(bronze)
+    clean = standardize(typed if stripped else normalize_strings(typed), synonyms)
     others = {k: f"source_{k}" for k in KEY_LEVELS if k != "column_id" and k in clean.columns}
     return rebuild_keys(clean.withColumnsRenamed(others), {"column_id": KEY_LEVELS["column_id"]}, stripped=True)
 
@@ -216,7 +218,7 @@ def expected_rows(prepared: DataFrame, rules=EXPECTATIONS) -> DataFrame:
 
 
 def build_silver(bronze: DataFrame, rubric: Rubric | None = None, synonyms=None,
-                 rules=EXPECTATIONS) -> DataFrame:
+                 rules=EXPECTATIONS, stripped: bool = False) -> DataFrame:
     """Bronze rows -> silver (one row per system.db.schema.table.column).
 
     As in the source, the hard expectations apply to the deduplicated output.
@@ -224,7 +226,7 @@ def build_silver(bronze: DataFrame, rubric: Rubric | None = None, synonyms=None,
     to one row per input partition before the shuffle, so it is never hot.
     """
     rubric = rubric or production_rubric()
-    best = with_all_keys(dedup_best(prepare_for_dedup(bronze, synonyms)))
+    best = with_all_keys(dedup_best(prepare_for_dedup(bronze, synonyms, stripped)))
     return certify(evaluate_rubric(best.filter(_output_rules(rules, "column_id")), rubric), rubric)
 
 

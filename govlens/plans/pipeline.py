@@ -81,7 +81,7 @@ def gold_tables(silver: DataFrame, regions: DataFrame, users: DataFrame,
 def silver_from_sf(spark: SparkSession, sf_dir: str, rubric: Rubric | None = None) -> DataFrame:
     """Silver of one scale factor; the rubric defaults to ``spark.conf['rubric.path']``
     when set, else the production rubric."""
-    return build_silver(bronze_from_lineitem(spark, sf_dir), rubric or rubric_from_conf(spark))
+    return build_silver(bronze_from_lineitem(spark, sf_dir), rubric or rubric_from_conf(spark), stripped=True)
 
 
 def gold_from_sf(spark: SparkSession, sf_dir: str, rubric: Rubric | None = None,
@@ -139,13 +139,15 @@ def write_gold(gold: Gold, out_dir: str, tables=STORED_TABLES, parallelism: int
 def run_pipeline(spark: SparkSession, bronze: DataFrame, out_dir: str,
                  rubric: Rubric | None = None, regions: DataFrame | None = None,
                  users: DataFrame | None = None, tables=STORED_TABLES,
-                 silver_table: str | None = None, buckets: int = 64) -> dict[str, DataFrame]:
+                 silver_table: str | None = None, buckets: int = 64,
+                 stripped: bool = False) -> dict[str, DataFrame]:
     """Write silver, the quarantined rows and the gold tables under ``out_dir`` (a shared
     folder); of the gold tables those of ``STORED_TABLES`` by default.
 
+    ``stripped``: the bronze strings come from ``to_bronze``, which strips them already.
     With ``silver_table``, silver is saved as a catalog table bucketed by
     table_id instead of a plain Parquet folder."""
-    built = build_silver(bronze, rubric or rubric_from_conf(spark))
+    built = build_silver(bronze, rubric or rubric_from_conf(spark), stripped=stripped)
     silver = (write_bucketed(built, silver_table, buckets=buckets, path=f"{out_dir}/silver")
               if silver_table else write_table(built, f"{out_dir}/silver"))
     gold = gold_tables(silver, regions if regions is not None else reference.region_assignment(spark),

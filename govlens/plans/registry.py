@@ -41,7 +41,7 @@ def gold_for(spark: SparkSession, sf_dir: str) -> Gold:
     k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _GOLD:
         folder = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-        silver = S.build_silver(_bronze(spark, sf_dir), rubric_from_conf(spark))
+        silver = S.build_silver(_bronze(spark, sf_dir), rubric_from_conf(spark), stripped=True)
         silver = write_table(silver, f"{folder.rstrip('/')}/silver-{uuid.uuid4().hex}")
         _GOLD[k] = gold_from_sf(spark, sf_dir, silver=silver)
     return _GOLD[k]
