@@ -28,6 +28,28 @@ GOLD_TABLES = [
 STORED_TABLES = [t for t in GOLD_TABLES if t != "asset_access_check"]
 
 
+# What each catalog table holds; set as the table's comment when tables are registered.
+TABLE_COMMENTS = {
+    "silver": "one row per column of the estate: typed, cleaned, checked and certified",
+    "scores_pre": "silver with documentation, quality, classification and overall scores",
+    "table_governance": "average scores per table, description and steward",
+    "table_structure": "identity and place of every column",
+    "profile": "descriptive attributes and results of every column",
+    "dlt_summary": "rows that pass and fail the row-level validations",
+    "kpi_summary": "the estate's key figures in one row",
+    "cert_level_summary": "certification levels per table",
+    "pii_classification_summary": "sensitivity coverage per security classification",
+    "domain_summary": "size, score and certification per domain",
+    "structural_consistency": "each table's width against the modal width",
+    "structural_summary": "share of tables within the structural standard",
+    "governance_gaps": "columns that fail a governance check, with the reasons",
+    "region_assignment": "data-residency rule per database",
+    "user_profile": "users with region and access group",
+    "asset_access_policy": "the residency rule that each table inherits",
+    "asset_access_check": "access decision for every table and user",
+}
+
+
 class Gold(dict):
     """Lazily built gold tables: each plan is declared on first access."""
 
@@ -92,13 +114,24 @@ def gold_from_sf(spark: SparkSession, sf_dir: str, rubric: Rubric | None = None,
                        standard=structure.standard_from_conf(spark))
 
 
-def write_table(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
-    """Overwrite ``path`` with ``df`` as Parquet and return the re-read table."""
-    out = df.coalesce(partitions) if partitions else df
-    out.write.mode("overwrite").parquet(path)
+def write_table(df: DataFrame, path: str, partitions: int | None = None, table: str | None = None,
+                comment: str | None = None) -> DataFrame:
+    """Overwrite ``path`` with ``df`` as Parquet and return the re-read table; with ``table``
+    it is registered in the catalog, with its comment."""
+    out = (df.coalesce(partitions) if partitions else df).write.mode("overwrite")
+    if table:
+        out.option("path", path).saveAsTable(table)
+        return commented(df.sparkSession, table, comment)
+    out.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def commented(spark: SparkSession, table: str, comment: str | None) -> DataFrame:
+    if comment:
+        spark.sql(f"COMMENT ON TABLE {table} IS '{comment.replace(chr(39), chr(92) + chr(39))}'")
+    return spark.table(table)
+
+
 def write_bucketed(df: DataFrame, table: str, key: str = "table_id", buckets: int = 64,
                    path: str | None = None) -> DataFrame:
     """Save ``df`` as a catalog table bucketed (and sorted) by ``key`` and return it.
@@ -111,23 +144,25 @@ def write_bucketed(df: DataFrame, table: str, key: str = "table_id", buckets: in
     if path:
         w = w.option("path", path)
     w.saveAsTable(table)
-    return df.sparkSession.table(table)
+    return commented(df.sparkSession, table, TABLE_COMMENTS["silver"] if key == "table_id" else None)
 
 
 def write_gold(gold: Gold, out_dir: str, tables=STORED_TABLES, parallelism: int = 4,
-               on_done=None) -> dict[str, DataFrame]:
+               on_done=None, catalog_prefix: str | None = None) -> dict[str, DataFrame]:
     """Write gold tables as Parquet, several jobs at a time.
 
     The tables are independent jobs over the same silver; submitting them from
     a few threads lets small jobs share the cluster instead of queueing (use
     the FAIR scheduler for even sharing). ``on_done(name, seconds)`` reports
-    per-table times."""
+    per-table times; with ``catalog_prefix`` the tables are also registered, as
+    ``<prefix><name>`` with their comments."""
     import time
     from concurrent.futures import ThreadPoolExecutor
 
     def one(name: str) -> tuple[str, DataFrame]:
         t = time.time()
-        df = write_table(gold[name], f"{out_dir}/{name}")
+        df = write_table(gold[name], f"{out_dir}/{name}",
+                         table=catalog_prefix + name if catalog_prefix else None, comment=TABLE_COMMENTS[name])
         if on_done:
             on_done(name, time.time() - t)
         return name, df

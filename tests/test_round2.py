@@ -147,3 +147,12 @@ def test_domain_view_takes_k(spark, gold):
 
 def test_critical_columns_exist(spark, gold):
     assert SEM.measure(gold, "cde").first()[0] > 0 and SEM.q_cde(gold).count() > 0
+
+
+def test_registered_tables_have_comments(spark, gold, tmp_path):
+    from govlens.plans.pipeline import GOLD_TABLES, TABLE_COMMENTS, write_gold
+
+    assert set(TABLE_COMMENTS) == {"silver", *GOLD_TABLES}
+    write_gold(gold, str(tmp_path), ["kpi_summary"], catalog_prefix="commented_")
+    rows = spark.sql("DESCRIBE TABLE EXTENDED commented_kpi_summary").collect()
+    assert [r.data_type for r in rows if r.col_name == "Comment"] == [TABLE_COMMENTS["kpi_summary"]]
