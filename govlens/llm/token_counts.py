@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govlens.llm.common import ship, texts
+from govlens.llm.common import ship, texts, written
 
 TABLE_SIZE = 8_192
 CACHE_SIZE = 1_000_000
@@ -94,7 +94,9 @@ def frequent_words(docs: DataFrame, size: int = TABLE_SIZE) -> DataFrame:
     """The ``size`` most frequent words of column ``text`` (word, n), over all rows.
 
     Each task keeps a bounded table of counters and emits at most ``size`` words, so
-    what is shuffled grows with the number of tasks, not with the words of the texts.
+    what is shuffled grows with the number of tasks, not with the words of the texts. Only
+    words of a certain share of all counts are ranked: there can be no more than
+    ``16 * size`` of them, however many partitions rank theirs.
     """
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -107,8 +109,10 @@ def frequent_words(docs: DataFrame, size: int = TABLE_SIZE) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
-    return (docs.select("text").mapInArrow(summarise, "word string, n long")
-            .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size))
+    counts = written(docs.select("text").mapInArrow(summarise, "word string, n long")
+                     .groupBy("word").agg(F.sum("n").alias("n")), "frequent-words")
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.filter(F.col("n") * (16 * size) >= total).orderBy(F.desc("n"), "word").limit(size)
 
 
 def length_table(words: list[str], path: str) -> dict[str, int]:
