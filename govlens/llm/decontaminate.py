@@ -131,28 +131,31 @@ class Index:
             yield int(n), bands * (self.k[n] + 1) - self.reach
 
 
-def align(pattern: np.ndarray, text: np.ndarray, starts: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Banded alignment of ``pattern`` within ``text`` around the diagonals
-    [start, start + 2(k+1)) of each start, free at both ends of the text: per start the best
+def align(pattern: np.ndarray, text: np.ndarray, starts: np.ndarray, k: int, lo: np.ndarray,
+          hi: np.ndarray) -> list[tuple[int, int, int]]:
+    """Banded alignment of ``pattern`` around the diagonals [start, start + 2(k+1)) of each
+    start, within its own text[lo:hi] and free at both ends of that: per start the best
     (edits, first, end)."""
-    m, n, pad = len(pattern), len(text), k
+    m, pad = len(pattern), k
+    lo, hi = lo[:, None], hi[:, None]
     width = 2 * (k + 1) + 2 * pad
     column = np.arange(width)
     base = (starts - pad)[:, None] + column  # place in the text of diagonal o at row 0
     big = np.int32(m + k + 1)
-    cost = np.where((base >= 0) & (base <= n), 0, big).astype(np.int32)
+    cost = np.where((base >= lo) & (base <= hi), 0, big).astype(np.int32)
     first = base.astype(np.int64)
     padded = np.append(text.astype(np.int64), -1)
+    outside = len(text)
     for i in range(m):
         j = base + i
-        inside = (j >= 0) & (j < n)
-        differs = padded[np.where(inside, j, n)] != int(pattern[i])
+        inside = (j >= lo) & (j < hi)
+        differs = padded[np.where(inside, j, outside)] != int(pattern[i])
         over = np.where(inside, cost + differs, big)
         skip = np.append(cost[:, 1:], np.full((len(starts), 1), big, np.int32), axis=1) + 1  # pattern's only
         came = np.append(first[:, 1:], first[:, -1:], axis=1)
         take = skip < over
         best, origin = np.where(take, skip, over), np.where(take, came, first)
-        best = np.where((j + 1 >= 0) & (j + 1 <= n), best, big)
+        best = np.where((j + 1 >= lo) & (j + 1 <= hi), best, big)
         level = best - column
         low = np.minimum.accumulate(level, axis=1)  # text's only: along the row
         source = np.maximum.accumulate(np.where(level == low, column, 0), axis=1)
@@ -164,34 +167,42 @@ def align(pattern: np.ndarray, text: np.ndarray, starts: np.ndarray, k: int) ->
         cost[rows, end], first[rows, end], base[rows, end] + m, strict=True)]
 
 
-def find_copies(index: Index, text: str) -> list[tuple[int, int, int, int]]:
-    """(item number, start, end, edits) in the normalised ``text``; of one item's overlapping
-    regions the best."""
+def find_copies(index: Index, text: str, first: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(part, item number, start, end, edits) in the normalised ``text``, whose parts are
+    text[first:end]. No region leaves its part; of one item's overlapping regions the best."""
     found = []
     for n in index.short:
         item, at = index.items[n][1], text.find(index.items[n][1])
         while at >= 0:
-            found.append((n, at, at + len(item), 0))
-            at = text.find(item, at + len(item))
+            part = int(np.searchsorted(first, at, "right")) - 1
+            inside = at + len(item) <= end[part]
+            if inside:
+                found.append((part, n, at, at + len(item), 0))
+            at = text.find(item, at + (len(item) if inside else 1))
     codes = _codes(text)
     for n, starts in index.candidates(codes):
         m, k, item = int(index.m[n]), int(index.k[n]), index.items[n][1]
-        regions: list[tuple[int, int, int]] = []
+        regions: list[tuple[int, int, int, int]] = []
         rest = []
         for s in starts:
-            lo = max(0, int(s) - k)
-            at = text.find(item, lo, int(s) + 2 * (k + 1) + m + k)
-            if at >= 0:
-                regions.append((0, at, at + m))
-            else:
-                rest.append(int(s))
+            lo, hi = int(s) - k, int(s) + 2 * (k + 1) + m + k
+            near = np.arange(np.searchsorted(end, lo, "right"), np.searchsorted(first, hi))
+            room = np.minimum(end[near], hi) - np.maximum(first[near], lo)
+            for part in near[room >= m - k]:  # the others are too short for a copy
+                at = text.find(item, max(lo, int(first[part])), min(hi, int(end[part])))
+                if at >= 0:
+                    regions.append((0, at, at + m, int(part)))
+                else:
+                    rest.append((int(s), int(part)))
         for some in range(0, len(rest), 256):
-            regions += [r for r in align(index.codes[n], codes, np.array(rest[some:some + 256]), k) if r[0] <= k]
-        last: list[tuple[int, int, int]] = []
-        for r in sorted(set(regions), key=lambda r: (r[0], r[1])):
-            if all(r[2] <= o[1] or r[1] >= o[2] for o in last):
-                last.append(r)
-        found += [(n, a, b, e) for e, a, b in last]
+            s, part = np.array(rest[some:some + 256]).T
+            regions += [(*r, int(p)) for r, p in zip(
+                align(index.codes[n], codes, s, k, first[part], end[part]), part, strict=True) if r[0] <= k]
+        last: dict[int, list[tuple[int, int, int]]] = {}
+        for e, a, b, part in sorted(set(regions), key=lambda r: (r[0], r[1])):
+            if all(b <= o[1] or a >= o[2] for o in last.setdefault(part, [])):
+                last[part].append((e, a, b))
+        found += [(part, n, a, b, e) for part, some in last.items() for e, a, b in some]
     return found
 
 
@@ -205,12 +216,12 @@ def find_leaks(index: Index, texts: list[str | None]) -> list[list[dict]]:
     def flush():
         nonlocal parts, size
         if parts:
-            firsts = np.array([p[2] for p in parts])
-            for n, a, b, edits in find_copies(index, "\0".join(p[3] for p in parts)):
-                row, offset, place, part = parts[int(np.searchsorted(firsts, a, "right")) - 1]
-                if b <= place + len(part):
-                    a, b = a - place + offset, b - place + offset
-                    out[row][n, a, b] = {"item_id": index.items[n][0], "start": a, "end": b, "edits": edits}
+            first = np.array([p[2] for p in parts])
+            end = first + np.array([len(p[3]) for p in parts])
+            for at, n, a, b, edits in find_copies(index, "\0".join(p[3] for p in parts), first, end):
+                row, offset, place, _ = parts[at]
+                a, b = a - place + offset, b - place + offset
+                out[row][n, a, b] = {"item_id": index.items[n][0], "start": a, "end": b, "edits": edits}
         parts, size = [], 0
 
     for row, text in enumerate(texts):

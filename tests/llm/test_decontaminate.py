@@ -60,6 +60,31 @@ def test_edited_copies_within_the_budget(spark):
         assert best <= k and found and min(x["edits"] for x in found) == best
 
 
+def test_truncated_copies_beside_other_documents(spark):
+    """A copy at a document's end that lacks up to k characters is found as in a pass of its own."""
+    items = [(b.item_id, D.normal(b.text)) for b in spark.read.parquet(BENCH).collect()]
+    index = D.Index(items, D.Q, D.EDITS_PERCENT)
+    for i, item in items[:4]:
+        k = D.budget(len(item), D.Q, D.EDITS_PERCENT)
+        for cut in range(1, k + 1):
+            head, tail = item[cut:], item[:-cut]
+            if " " in (head[0], tail[-1]):
+                continue  # white space at the ends goes, and with it one more character
+            for text in (head, head + " and more", tail, "some more " + tail):
+                alone = D.find_leaks(index, [text])[0]
+                own = [x for x in alone if x["item_id"] == i]
+                assert own and own[0]["edits"] <= cut
+                for before, after in (("other text", "other text"), (item[:cut], item[-cut:]), (item, item)):
+                    assert D.find_leaks(index, [before, text, after])[1] == alone
+
+
+def test_items_with_the_separator_stay_in_one_document():
+    for half in ("b", "some half"):
+        index = D.Index([(1, f"{half}\0{half}")], D.Q, D.EDITS_PERCENT)
+        found = D.find_leaks(index, [half, f"{half}\0{half}", half])
+        assert [[(x["start"], x["edits"]) for x in f] for f in found] == [[], [(0, 0)], []]
+
+
 def test_segments_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "SEGMENT_CHARS", 3000)
     items = [(b.item_id, D.normal(b.text)) for b in spark.read.parquet(BENCH).collect()]
