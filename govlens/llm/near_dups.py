@@ -2,7 +2,8 @@
 
 1. Every text becomes its set of shingle hashes, and that a signature: the hash range is
    cut into buckets, each bucket keeps the smallest value as a register of its number of
-   leading zeros and ``MANTISSA`` further bits. Empty buckets borrow from others.
+   leading zeros and ``MANTISSA`` further bits. Empty buckets are filled by dealing the set
+   again, with another hash each time, until none is left.
 2. Equal sets are one node from here on (smallest id), however many copies there are.
 3. Registers are cut into bands; equal bands put nodes into one bucket. See ``buckets``
    for how components come of them without all pairs of a bucket.
@@ -32,9 +33,11 @@ MISS = 1e-6  # highest chance that a pair at the threshold shares no band
 SIGMAS = 5  # a pair is dropped when its estimate is so many standard errors below the threshold
 MEMBERS = 256  # nodes in a block; members compared with one center in one group of rows
 COLUMNS = 8192
+DEALT = 2048  # shingles dealt at once to fill empty registers
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _EMPTY = np.uint16(0xFFFF)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -74,45 +77,43 @@ def shingle_set(text: str, k: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def _probes() -> np.ndarray:
-    """Where an empty bucket looks: a fixed pseudo-random table, a row per attempt."""
-    cells = np.arange(1, 16 * REGISTERS + 1, dtype=np.uint64).reshape(16, REGISTERS)
-    return (mix(cells * _M2) % np.uint64(REGISTERS)).astype(np.int64)
-
-
-PROBES = _probes()
+def _register(low: np.ndarray) -> np.ndarray:
+    """Leading zeros and mantissa of each value."""
+    low = low | np.uint64(1)
+    bits = np.frexp(low.astype(np.float64))[1]  # may round up to the next power of two: see below
+    bits = bits - (low < (np.uint64(1) << (bits - 1).astype(np.uint64)))
+    zeros = (64 - bits).astype(np.uint64)
+    mantissa = (low << zeros << np.uint64(1)) >> np.uint64(64 - MANTISSA)
+    return (np.minimum(zeros, 62) << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
     """HyperMinHash registers (uint16) of a non-empty sorted set."""
     bucket = ((shingles >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)).astype(np.int64)
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    low = np.minimum.reduceat(mix(shingles * _M2 + np.uint64(1)), starts) | np.uint64(1)
-    bits = np.frexp(low.astype(np.float64))[1]  # may round up to the next power of two: see below
-    bits = bits - (low < (np.uint64(1) << (bits - 1).astype(np.uint64)))
-    zeros = (64 - bits).astype(np.uint64)
-    mantissa = (low << zeros << np.uint64(1)) >> np.uint64(64 - MANTISSA)
     out = np.full(REGISTERS, _EMPTY, np.uint16)
-    out[bucket[starts]] = (np.minimum(zeros, 62) << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
-    return _filled(out)
-
-
-def _filled(out: np.ndarray) -> np.ndarray:
-    """Empty registers take the value of the first filled one that their probes meet, else of
-    the next filled one: two sets then agree in them as they do in the others."""
-    empty = np.flatnonzero(out == _EMPTY)
-    if not len(empty):
-        return out
-    source, filled = out.copy(), out != _EMPTY
-    for attempt in PROBES:
-        at = attempt[empty]
-        ok = filled[at]
-        out[empty[ok]] = source[at[ok]]
-        empty = empty[~ok]
-        if not len(empty):
-            return out
-    own = np.flatnonzero(filled)
-    out[empty] = source[own[np.searchsorted(own, empty) % len(own)]]
+    out[bucket[starts]] = _register(np.minimum.reduceat(mix(shingles * _M2 + np.uint64(1)), starts))
+    return _filled(out, shingles)
+
+
+def _filled(out: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Each empty register takes the value of the first round of dealing that puts a shingle into
+    it. The smallest value that a union of two sets has there in its first such round is any of
+    its shingles with equal chance: the sets agree in it with the chance of their similarity,
+    however small they are, and registers do not repeat one another."""
+    done, rounds = 0, -(-DEALT // len(shingles))
+    while len(empty := np.flatnonzero(out == _EMPTY)):
+        turn = np.arange(done + 1, done + rounds + 1, dtype=np.uint64)[:, None]
+        h = mix(shingles[None, :] ^ mix(turn * _M1))
+        place = (h >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)
+        at = (np.arange(rounds)[:, None] * REGISTERS + place.astype(np.int64)).ravel()
+        low = np.full(rounds * REGISTERS, _NONE, np.uint64)
+        np.minimum.at(low, at, mix(h * _M2 + np.uint64(1)).ravel())
+        low = low.reshape(rounds, REGISTERS)[:, empty]
+        met = low != _NONE
+        ok = met.any(axis=0)
+        out[empty[ok]] = _register(low[met.argmax(axis=0)[ok], np.flatnonzero(ok)])
+        done += rounds
     return out
 
 
@@ -160,7 +161,6 @@ def banded(nodes: DataFrame, s: Settings) -> DataFrame:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 sig = _matrix(part["sig"])[:, :s.bands * s.rows].astype(np.uint64)
-                # registers of a band lie far apart, as borrowed ones repeat
                 sig = sig.reshape(-1, s.rows, s.bands)
                 key = np.broadcast_to(mix(np.arange(1, s.bands + 1, dtype=np.uint64)), (len(sig), s.bands))
                 for r in range(s.rows):

@@ -120,6 +120,23 @@ def test_registers_estimate_jaccard():
         assert abs(np.mean(errors)) < 0.02
 
 
+@pytest.mark.parametrize("words,percent,shared,a,b", [
+    (3, 85, 6, 7, 6), (3, 85, 12, 14, 12), (5, 80, 4, 5, 4), (5, 80, 8, 9, 9), (5, 80, 12, 15, 12), (3, 85, 17, 20, 17)])
+def test_small_sets_at_the_threshold_share_a_band(words, percent, shared, a, b):
+    """Of thousands of pairs of small sets none may be missed, by bands or by the estimate."""
+    s = near_dups.Settings(words, percent)
+    assert 100 * shared >= percent * (a + b - shared)
+    rnd = np.random.default_rng(8)
+    missed = dropped = 0
+    for _ in range(3000):
+        x = near_dups.mix(rnd.integers(0, 2 ** 63, a + b - shared).astype(np.uint64))
+        one, two = (near_dups.registers(np.sort(y)) for y in (x[:a], np.concatenate([x[:shared], x[a:]])))
+        bands = (one == two)[:s.bands * s.rows].reshape(s.rows, s.bands)
+        missed += not bands.all(axis=0).any()
+        dropped += near_dups.estimate(one[None], two[None], np.array([a]), np.array([b]))[0] < s.least_estimate
+    assert missed == dropped == 0
+
+
 def test_shared_counts(monkeypatch):
     monkeypatch.setattr(near_dups, "COLUMNS", 7)
     rnd = random.Random(6)
