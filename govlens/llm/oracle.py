@@ -128,4 +128,77 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(k.part, c
 FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.text
 """
 
-SQL = {"op10_line_dedup": OP10, "op2_near_dups": OP2, "op4_chat": OP4, "op6_quality": OP6, "op9_warc": OP9}
+OP11 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split(
+    translate(coalesce(text, ''), {_SPACES}, '      '), ' '), lambda x: x <> '') AS w FROM documents
+), f AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+    len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c,
+    regexp_matches(text, '[#$%&*|]') AS d,
+    d.doc_id > min(d.doc_id) OVER (PARTITION BY text) AS e
+  FROM d LEFT JOIN labels USING (doc_id)
+), m AS (
+  SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'],
+    lambda x: CASE x WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE coalesce(e, false) END) AS fails FROM f
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT v.x || w.x || y.x || z.x || u.x AS filter_order FROM letters v, letters w, letters y, letters z, letters u
+  WHERE len(list_distinct([v.x, w.x, y.x, z.x, u.x])) = 5
+), steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS here,
+    string_split(substr(filter_order, 1, step - 1), '') AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), h AS (
+  SELECT part, good, toxic, fails, count(*) AS n FROM m GROUP BY ALL
+), r AS (
+  SELECT part, filter_order, step, here, n, good, toxic, fails, list_contains(fails, here) AS hit, len(list_intersect(fails, before)) > 0 AS gone
+  FROM h, steps
+), s AS (
+  SELECT part, here, sum(n) AS shapley FROM r WHERE hit AND NOT gone GROUP BY ALL
+)
+SELECT part, filter_order, step,
+  CAST(sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN hit AND len(fails) = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN hit AND NOT gone AND good THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN hit AND NOT gone AND toxic THEN n ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(any_value(s.shapley), 0) AS BIGINT) AS shapley
+FROM r LEFT JOIN s USING (part, here) GROUP BY part, filter_order, step
+"""
+
+OP12 = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?' || chr(11) || chr(12) || chr(13),
+    repeat(chr(10), 9)), chr(10))) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda x: x <> '') AS w FROM p
+), g AS (
+  SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, k, phrase, a, j, array_to_string(list_slice(w, 1, j), ' ') AS x, array_to_string(list_slice(w, j + 1, k), ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+), s AS (
+  SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 2000000 * CAST(a AS HUGEINT) // (x.f + y.f), j) AS nth
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.x AND x.k = c.j JOIN f y ON y.lang = c.lang AND y.phrase = c.y AND y.k = c.k - c.j
+), inside AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS over
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest(range(2, 4)) AS m) WHERE m < k) GROUP BY ALL
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase WHERE nth = 1 AND (over IS NULL OR 100 * over < 80 * a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+SQL = {"op11_filter_audit": OP11, "op12_collocations": OP12, "op10_line_dedup": OP10, "op2_near_dups": OP2, "op4_chat": OP4, "op6_quality": OP6, "op9_warc": OP9}

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from govlens.llm import (
     chat,
+    collocations,
     decontaminate,
+    filter_audit,
     license_scan,
     line_dedup,
     lm_score,
     near_dups,
+    nn_descent,
     quality,
     sentencepiece_codec,
     token_counts,
@@ -89,6 +92,19 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit_filters(spark.read.parquet(f"{sf_dir}/documents.parquet"),
+                                      spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations.mine(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_neighbours(spark, sf_dir):
+    return nn_descent.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dups": op2_near_dups,
@@ -100,4 +116,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
+    "op13_neighbours": op13_neighbours,
 }
