@@ -6,7 +6,7 @@ Only words that differ within a block are ever shuffled, never a word per occurr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from govlens.llm.common import written
@@ -32,11 +32,25 @@ def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
             .drop("_part", "_start", "_at"))
 
 
+def numbered_words(blocks: DataFrame) -> DataFrame:
+    """(block, place, word, number) of every word of the blocks' lists; equal words have one number.
+
+    One shuffle brings the rows of a word together, at most one per block; the number is that of
+    the word's first row in the order of its partition, which any rerun repeats."""
+    each = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    rows = each.repartition("word").sortWithinPartitions("word", "block").withColumn("_at", F.monotonically_increasing_id())
+    return rows.select("block", "place", "word", F.min("_at").over(Window.partitionBy("word")).alias("number"))
+
+
+def by_block(found: DataFrame) -> DataFrame:
+    """block, ``places`` and ``numbers`` of rows (block, place, number). A block's list is bounded by
+    the block's size."""
+    lists = found.groupBy("block").agg(F.collect_list(F.struct("place", "number")).alias("m"))
+    return lists.select("block", F.col("m.place").alias("places"), F.col("m.number").alias("numbers"))
+
+
 def numbers_of_blocks(blocks: DataFrame, dictionary: DataFrame, keys: list[str]) -> DataFrame:
-    """block, ``places`` and ``numbers``: for each block the places in its list ``words`` that the
-    dictionary (``keys``, number) has, and their numbers. A block's list is bounded by its size."""
+    """:func:`by_block` of the blocks' words that the dictionary (``keys``, number) has."""
     extra = [k for k in keys if k != "word"]
     each = blocks.select("block", *extra, F.posexplode("words").alias("place", "word"))
-    found = each.join(dictionary.select(*keys, "number"), keys)
-    lists = found.groupBy("block").agg(F.collect_list(F.struct("place", "number")).alias("m"))
-    return lists.select("block", F.col("m.place").alias("places"), F.col("m.number").alias("numbers"))
+    return by_block(each.join(dictionary.select(*keys, "number"), keys))

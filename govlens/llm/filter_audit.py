@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from govlens.llm.common import written
-from govlens.llm.term_matrix import BLOCK_BYTES, row_totals, word_blocks, word_dictionary
+from govlens.llm.dictionary import numbered_words
+from govlens.llm.term_matrix import BLOCK_BYTES, row_totals, word_blocks
 
 FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, UPPER_PERCENT, SYMBOLS = 100, 80, 10, "#$%&*|"
@@ -37,7 +38,7 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
                        F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"),
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     blocks = word_blocks(rows, SYMBOLS, block_bytes)
-    totals = row_totals(blocks, word_dictionary(blocks))
+    totals = row_totals(blocks, numbered_words(blocks))
     tests = {
         "A": F.col("n_words") < MIN_WORDS,
         "B": 100 * F.col("n_distinct") < DISTINCT_PERCENT * F.col("n_words"),

@@ -3,7 +3,7 @@
 1. Blocks: each task cuts its documents into blocks of about ``BLOCK_BYTES`` of text (a longer
    document is a block of its own), splits words and keeps per block its list of different words
    and, per document, the places of its words in that list with their counts.
-2. Dictionary: the different words of all blocks are numbered (``dictionary.numbered``).
+2. Dictionary: the words of all blocks' lists meet by word and are numbered (``dictionary``).
 3. Shards: each block gets the numbers of its words back, which become the column indices;
    every row's columns are sorted.
 
@@ -20,14 +20,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from govlens.llm.common import ship, written
-from govlens.llm.dictionary import numbered, numbers_of_blocks
+from govlens.llm.dictionary import by_block, numbered_words
 
 BLOCK_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20  # of a block, split into words at a time
 
 _DOC = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_upper", pa.int64()), ("symbol", pa.bool_()),
         ("digest", pa.binary())]
@@ -87,8 +88,26 @@ def _sums(flags: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return out
 
 
-def _block(number: int, ids: pa.Array, parts: pa.Array, texts: pa.Array, symbols: np.ndarray) -> dict:
-    """A row of BLOCK for texts (large_string, no nulls)."""
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(packed: pa.Scalar, kind: type) -> np.ndarray:
+    """An array of a block or shard."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.as_buffer()), kind)
+
+
+def _slices(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` bytes, at least one text each; ``ends``: where each text ends."""
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, end
+        at = end
+
+
+def _slice(texts: pa.Array, symbols: np.ndarray) -> tuple[pa.Array, Csr, tuple]:
+    """Different words, rows over their places and (n_chars, n_upper, symbol) of texts (large_string, no nulls)."""
     raw = texts.cast(pa.large_binary())
     ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1]
     held = raw.buffers()[2]
@@ -102,16 +121,28 @@ def _block(number: int, ids: pa.Array, parts: pa.Array, texts: pa.Array, symbols
     if empty >= 0:  # what the split leaves at the ends of a text
         of, places = of[places != empty], places[places != empty]
         places = places - (places > empty)
-    listed = coded.dictionary.filter(pc.not_equal(coded.dictionary, "")).cast(pa.string())
-    rows = _counted(of, places, len(texts), len(listed))
-    # texts end on bytes that continue no character, so the sums below split at character ends
+    listed = coded.dictionary.filter(pc.not_equal(coded.dictionary, ""))
+    # texts end on whole characters, so bytes that continue one are counted with it
+    return listed, _counted(of, places, len(texts), len(listed)), (
+        sizes - _sums((data & 0xC0) == 0x80, starts, sizes), _sums((data - np.uint8(65)) < 26, starts, sizes),
+        _sums(symbols[data], starts, sizes) > 0)
+
+
+def _block(number: int, ids: pa.Array, parts: pa.Array, texts: pa.Array, symbols: np.ndarray) -> dict:
+    """A row of BLOCK for texts (large_string, no nulls)."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    listed, rows, counts = zip(*(_slice(texts[a:z], symbols) for a, z in _slices(ends, SLICE_BYTES)), strict=True)
+    merged = pa.concat_arrays(listed).dictionary_encode()
+    of = np.split(merged.indices.to_numpy(zero_copy_only=False), np.cumsum([len(x) for x in listed])[:-1])
+    starts = np.cumsum([0, *(len(r.indices) for r in rows)])
+    chars, upper, symbol = (np.concatenate(x) for x in zip(*counts, strict=True))
     return {
-        "block": number, "words": listed, "indptr": rows.indptr.astype(np.int64).tobytes(),
-        "indices": rows.indices.tobytes(), "data": rows.data.tobytes(), "doc_id": ids, "part": parts,
-        "n_chars": pa.array(sizes - _sums((data & 0xC0) == 0x80, starts, sizes)),
-        "n_upper": pa.array(_sums((data - np.uint8(65)) < 26, starts, sizes)),
-        "symbol": pa.array(_sums(symbols[data], starts, sizes) > 0),
-        "digest": pa.array([hashlib.blake2b(t.as_buffer(), digest_size=16).digest() for t in raw], pa.binary()),
+        "block": number, "words": merged.dictionary.cast(pa.string()), "doc_id": ids, "part": parts,
+        "indptr": _packed(np.concatenate([[0], *(r.indptr[1:] + s for r, s in zip(rows, starts, strict=False))]).astype(np.int64)),
+        "indices": _packed(np.concatenate([o[r.indices] for r, o in zip(rows, of, strict=True)]).astype(np.int32)),
+        "data": _packed(np.concatenate([r.data for r in rows])),
+        "n_chars": pa.array(chars), "n_upper": pa.array(upper), "symbol": pa.array(symbol),
+        "digest": pa.array([hashlib.blake2b(t.as_buffer(), digest_size=16).digest() for t in texts.cast(pa.large_binary())], pa.binary()),
     }
 
 
@@ -124,14 +155,10 @@ def word_blocks(docs: DataFrame, symbols: str = "", block_bytes: int = BLOCK_BYT
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch["text"].cast(pa.large_string())
-            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-            at = 0
-            while at < len(texts):
-                before = ends[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(ends, before + block_bytes, "right")))
+            for at, end in _slices(np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), block_bytes):
                 row = _block(number, batch["doc_id"][at:end], batch["part"][at:end], texts[at:end], marks)
                 yield pa.RecordBatch.from_arrays([_one(row[f.name], f.type) for f in _BLOCK], schema=_BLOCK)
-                at, number = end, number + 1
+                number += 1
 
     ship(docs.sparkSession)
     return written(docs.select("doc_id", "part", "text").mapInArrow(run, BLOCK), "word-blocks")
@@ -144,22 +171,15 @@ def _one(value, kind: pa.DataType) -> pa.Array:
     return pa.array([value], kind)
 
 
-def word_dictionary(blocks: DataFrame) -> DataFrame:
-    """(word, number): each different word of all blocks once, numbered from 0."""
-    return numbered(blocks.select(F.explode("words").alias("word")).distinct(), "number", "word-numbers")
-
-
-def _shards(blocks: DataFrame, dictionary: DataFrame, build, schema: str) -> DataFrame:
-    numbers = numbers_of_blocks(blocks, dictionary, ["word"])
+def _shards(blocks: DataFrame, numbers: DataFrame, build, schema: str) -> DataFrame:
     # outer: a block of empty texts has no words
-    both = blocks.drop("words").join(numbers.hint("merge"), "block", "left")
+    both = blocks.drop("words").join(by_block(numbers).hint("merge"), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i] for n in batch.schema.names}
-                local = Csr(*(np.frombuffer(row[n].as_buffer(), t) for n, t in (
-                    ("indptr", np.int64), ("indices", np.int32), ("data", np.int32))))
+                local = Csr(*(unpacked(row[n], t) for n, t in (("indptr", np.int64), ("indices", np.int32), ("data", np.int32))))
                 places, given = (row[n].values for n in ("places", "numbers"))
                 columns = np.zeros(0 if places is None else len(places), np.int64)
                 if places is not None:
@@ -170,19 +190,19 @@ def _shards(blocks: DataFrame, dictionary: DataFrame, build, schema: str) -> Dat
     return both.mapInArrow(run, schema)
 
 
-def csr_shards(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
+def csr_shards(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
     """The matrix: a row per shard with its documents' attributes (arrays) and the CSR arrays
-    ``indptr`` (int64), ``indices`` (word numbers, int64) and ``data`` (int32) as bytes."""
+    ``indptr`` (int64), ``indices`` (word numbers, int64) and ``data`` (int32), packed (:func:`unpacked`)."""
     def build(row: dict, rows: Csr) -> pa.RecordBatch:
-        values = {"shard": row["block"].as_py(), "indptr": rows.indptr.tobytes(), "indices": rows.indices.tobytes(),
-                  "data": rows.data.tobytes()}
+        values = {"shard": row["block"].as_py(), "indptr": _packed(rows.indptr), "indices": _packed(rows.indices),
+                  "data": _packed(rows.data)}
         return pa.RecordBatch.from_arrays([_one(values[f.name] if f.name in values else row[f.name].values, f.type)
                                            for f in _SHARD], schema=_SHARD)
 
-    return _shards(blocks, dictionary, build, SHARD)
+    return _shards(blocks, numbers, build, SHARD)
 
 
-def row_totals(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
+def row_totals(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
     """A row per document: its attributes, ``n_words`` (its row's sum) and ``n_distinct`` (its row's
     nonzero entries), from the shards of the matrix as they are built."""
     def build(row: dict, rows: Csr) -> pa.RecordBatch:
@@ -190,4 +210,4 @@ def row_totals(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([totals[f.name] if f.name in totals else row[f.name].values.cast(f.type)
                                            for f in _TOTALS], schema=_TOTALS)
 
-    return _shards(blocks, dictionary, build, TOTALS)
+    return _shards(blocks, numbers, build, TOTALS)

@@ -4,11 +4,13 @@ import re
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 from edge import edge_docs, no_docs, rows_of
 from pyspark.sql import functions as F
 
 from govlens.llm import filter_audit as A
 from govlens.llm import term_matrix as M
+from govlens.llm.dictionary import numbered_words
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
@@ -82,12 +84,14 @@ def test_matrix_holds_every_word_under_one_number(spark):
     texts = ["b a b", "", "a c  a\tA", "b " * 40, " "]
     docs = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "doc_id long, part string, text string")
     blocks = M.word_blocks(docs.repartition(2), block_bytes=8)
-    words = M.word_dictionary(blocks)
-    of = {r["number"]: r["word"] for r in rows_of(words)}
-    assert sorted(of) == list(range(len(of)))
+    words = numbered_words(blocks)
+    of = {}
+    for r in words.collect():
+        assert of.setdefault(r["number"], r["word"]) == r["word"]
+    assert len(set(of.values())) == len(of) == len({w for t in texts for w in WORDS.findall(t)})
     seen = {}
     for r in rows_of(M.csr_shards(blocks, words)):
-        ptr, ind, dat = (np.frombuffer(r[c], t) for c, t in (("indptr", np.int64), ("indices", np.int64), ("data", np.int32)))
+        ptr, ind, dat = (M.unpacked(pa.scalar(r[c], pa.binary()), t) for c, t in (("indptr", np.int64), ("indices", np.int64), ("data", np.int32)))
         for i, d in enumerate(r["doc_id"]):
             columns = ind[ptr[i]:ptr[i + 1]]
             assert (np.diff(columns) > 0).all()
