@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govlens.functions.labels import asset_location
@@ -61,8 +61,16 @@ def asset_access_policy(silver: DataFrame, regions: DataFrame,
     return _with_defaults(out).select(*POLICY_COLUMNS)
 
 
+CELL_TABLES, CELL_USERS = 1024, 256  # rows of either side that meet under one join key
+
+
+def _parts(rows: DataFrame, per_part: int) -> Column:
+    """How many parts of ``per_part`` rows there are: counted by the query itself."""
+    return rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / per_part)).cast("long")).scalar()
+
+
 def access_pairs(policy: DataFrame, users: DataFrame, user_columns=(), policy_columns=(),
-                 table_parts: int = 64, user_parts: int = 8) -> DataFrame:
+                 table_parts: int | None = None, user_parts: int | None = None) -> DataFrame:
     """Access decision for every (table, user) pair, with extra columns of either side.
 
     The output is tables x users by definition; it is stored nowhere by default (see
@@ -70,15 +78,17 @@ def access_pairs(policy: DataFrame, users: DataFrame, user_columns=(), policy_co
     reach their side before the pairs are made. Pairs are made as an equi-join over a
     grid: each table copies into the parts of the users and each user into the parts of
     the tables, so every grid cell is one join key of even size, whatever the policy
-    classes' sizes are.
+    classes' sizes are. The grid grows with both sides: ``table_parts`` x ``user_parts`` cells, by
+    default one part for each ``CELL_TABLES`` tables and ``CELL_USERS`` users.
     """
+    t = F.lit(table_parts).cast("long") if table_parts else _parts(policy, CELL_TABLES)
+    u = F.lit(user_parts).cast("long") if user_parts else _parts(users, CELL_USERS)
+    zero = F.lit(0).cast("long")
     tables = policy.select(*dict.fromkeys([*POLICY_COLUMNS, *policy_columns])).withColumns({
-        "__t": F.pmod(F.xxhash64("table_id"), F.lit(table_parts)),
-        "__u": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(user_parts - 1).cast("long")))})
+        "__t": F.pmod(F.xxhash64("table_id"), t), "__u": F.explode(F.sequence(zero, u - 1))})
     people = users.select("user_email", "user_region", "department",
                           F.col("access_group").alias("user_access_group"), *user_columns).withColumns({
-        "__u": F.pmod(F.xxhash64("user_email"), F.lit(user_parts)),
-        "__t": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(table_parts - 1).cast("long")))})
+        "__u": F.pmod(F.xxhash64("user_email"), u), "__t": F.explode(F.sequence(zero, t - 1))})
     open_ = F.col("asset_region") == "UNRESTRICTED"
     match = ((F.col("user_region") == F.col("allowed_region"))
              & (F.col("user_access_group") == F.col("required_access_group")))
@@ -96,12 +106,14 @@ def asset_access_check(policy: DataFrame, users: DataFrame) -> DataFrame:
 
 def access_for(policy: DataFrame, users: DataFrame, table_name: str | None = None,
                user_email: str | None = None) -> DataFrame:
-    """Decisions for one table name and/or one user, filtered before the join."""
+    """Decisions for one table name and/or one user, filtered before the join; a side that is
+    filtered is one part of the grid."""
     if table_name is not None:
         policy = policy.filter(F.col("table_name") == table_name)
     if user_email is not None:
         users = users.filter(F.col("user_email") == user_email)
-    return asset_access_check(policy, users)
+    return access_pairs(policy, users, table_parts=1 if table_name is not None else None,
+                        user_parts=1 if user_email is not None else None).select(*CHECK_COLUMNS)
 
 
 def region_rules_in_use(silver: DataFrame, regions: DataFrame) -> DataFrame:

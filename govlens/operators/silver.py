@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from govlens.functions.rubric import (
@@ -122,6 +122,31 @@ def expectation_counts(df: DataFrame, rules=EXPECTATIONS) -> DataFrame:
     return wide.selectExpr(f"stack({len(rules)}, {stack}) AS (expectation, passed_rows, failed_rows)")
 
 
+def _rule_before_dedup(cond: str) -> Column:
+    """A rule on prepared rows: ids are not built yet, so a test of one is a test of its path."""
+    for key in KEY_LEVELS:
+        if cond.replace(" ", "") == f"{key}ISNOTNULL":
+            return path_present(key)
+    return _rule(cond)
+
+
+def observed_expectations(prepared: DataFrame, observation: Observation, rules=EXPECTATIONS) -> DataFrame:
+    """``prepared``, with the rows that pass and fail each expectation counted by whatever job reads
+    it (see :func:`expectation_report`)."""
+    metrics = []
+    for name, cond in rules.items():
+        met = _rule_before_dedup(cond)
+        metrics += [F.count_if(met).alias(f"{name}__passed"), F.count_if(~met).alias(f"{name}__failed")]
+    return prepared.observe(observation, *metrics)
+
+
+def expectation_report(spark: SparkSession, observation: Observation, rules=EXPECTATIONS) -> DataFrame:
+    """The counts of a finished write, as :func:`expectation_counts` gives them."""
+    got = observation.get
+    return spark.createDataFrame([(n, got[f"{n}__passed"], got[f"{n}__failed"]) for n in rules],
+                                 "expectation string, passed_rows long, failed_rows long")
+
+
 def completeness_count(fields=GOVERNANCE_FIELDS) -> Column:
     return reduce(lambda a, b: a + b, [F.col(f).isNotNull().cast("int") for f in fields])
 
@@ -218,15 +243,19 @@ def expected_rows(prepared: DataFrame, rules=EXPECTATIONS) -> DataFrame:
 
 
 def build_silver(bronze: DataFrame, rubric: Rubric | None = None, synonyms=None,
-                 rules=EXPECTATIONS, stripped: bool = False) -> DataFrame:
+                 rules=EXPECTATIONS, stripped: bool = False, observation: Observation | None = None) -> DataFrame:
     """Bronze rows -> silver (one row per system.db.schema.table.column).
 
     As in the source, the hard expectations apply to the deduplicated output.
     Rows with a NULL key form one group, but the partial aggregation reduces it
-    to one row per input partition before the shuffle, so it is never hot.
+    to one row per input partition before the shuffle, so it is never hot. With an
+    ``observation`` the job that writes silver also counts the expectations (before the dedup).
     """
     rubric = rubric or production_rubric()
-    best = with_all_keys(dedup_best(prepare_for_dedup(bronze, synonyms, stripped)))
+    prepared = prepare_for_dedup(bronze, synonyms, stripped)
+    if observation is not None:
+        prepared = observed_expectations(prepared, observation, rules)
+    best = with_all_keys(dedup_best(prepared))
     return certify(evaluate_rubric(best.filter(_output_rules(rules, "column_id")), rubric), rubric)
 
 

@@ -8,11 +8,11 @@ from silver, not from the raw scan), then writes each gold table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from govlens.functions.rubric import Rubric, rubric_from_conf
 from govlens.operators import access, gaps, rollups, scoring, structure
-from govlens.operators.silver import build_silver, quarantine
+from govlens.operators.silver import build_silver, expectation_report, quarantine
 from govlens.sources import reference
 from govlens.sources.raw import bronze_from_lineitem
 
@@ -50,6 +50,13 @@ TABLE_COMMENTS = {
 }
 
 
+# Tables that are built from others, which are then read back rather than built again.
+SIBLINGS = {
+    "table_governance": ["scores_pre"], "domain_summary": ["scores_pre"], "structural_summary": ["structural_consistency"],
+    "asset_access_check": ["asset_access_policy", "user_profile"],
+}
+
+
 class Gold(dict):
     """Lazily built gold tables: each plan is declared on first access."""
 
@@ -151,9 +158,10 @@ def write_gold(gold: Gold, out_dir: str, tables=STORED_TABLES, parallelism: int
                on_done=None, catalog_prefix: str | None = None) -> dict[str, DataFrame]:
     """Write gold tables as Parquet, several jobs at a time.
 
-    The tables are independent jobs over the same silver; submitting them from
-    a few threads lets small jobs share the cluster instead of queueing (use
-    the FAIR scheduler for even sharing). ``on_done(name, seconds)`` reports
+    A table that is built from another of ``tables`` (``SIBLINGS``) waits for it and reads the stored
+    one, which also takes its place in ``gold``; the others are independent jobs over the
+    same silver. Submitting jobs from a few threads lets small ones share the cluster instead
+    of queueing (use the FAIR scheduler for even sharing). ``on_done(name, seconds)`` reports
     per-table times; with ``catalog_prefix`` the tables are also registered, as
     ``<prefix><name>`` with their comments."""
     import time
@@ -167,27 +175,43 @@ def write_gold(gold: Gold, out_dir: str, tables=STORED_TABLES, parallelism: int
             on_done(name, time.time() - t)
         return name, df
 
+    later = [t for t in tables if set(SIBLINGS.get(t, ())) & set(tables)]
+    done: dict[str, DataFrame] = {}
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return dict(pool.map(one, tables))
+        for wave in ([t for t in tables if t not in later], later):
+            stored = dict(pool.map(one, wave))
+            for name in later:
+                gold.pop(name, None)  # declared anew, over what is stored by now
+            gold.update(stored)
+            done.update(stored)
+    return {t: done[t] for t in tables}
 
 
 def run_pipeline(spark: SparkSession, bronze: DataFrame, out_dir: str,
                  rubric: Rubric | None = None, regions: DataFrame | None = None,
                  users: DataFrame | None = None, tables=STORED_TABLES,
                  silver_table: str | None = None, buckets: int = 64,
-                 stripped: bool = False) -> dict[str, DataFrame]:
+                 stripped: bool = False, corrupt: DataFrame | None = None) -> dict[str, DataFrame]:
     """Write silver, the quarantined rows and the gold tables under ``out_dir`` (a shared
     folder); of the gold tables those of ``STORED_TABLES`` by default.
 
+    ``corrupt``: rows of the source that could not be read as columns (``corrupt_csv_rows``), which
+    join the quarantined ones. The rows that pass and fail each expectation are counted by the job
+    that writes silver, and written to ``out_dir/expectations``.
     ``stripped``: the bronze strings come from ``to_bronze``, which strips them already.
     With ``silver_table``, silver is saved as a catalog table bucketed by
     table_id instead of a plain Parquet folder."""
-    built = build_silver(bronze, rubric or rubric_from_conf(spark), stripped=stripped)
+    seen = Observation()
+    built = build_silver(bronze, rubric or rubric_from_conf(spark), stripped=stripped, observation=seen)
     silver = (write_bucketed(built, silver_table, buckets=buckets, path=f"{out_dir}/silver")
               if silver_table else write_table(built, f"{out_dir}/silver"))
     gold = gold_tables(silver, regions if regions is not None else reference.region_assignment(spark),
                        users if users is not None else reference.user_profile(spark),
                        standard=structure.standard_from_conf(spark))
-    written = {"silver": silver, "quarantine": write_table(quarantine(bronze), f"{out_dir}/quarantine")}
+    rejected = quarantine(bronze)
+    if corrupt is not None:
+        rejected = rejected.unionByName(corrupt, allowMissingColumns=True)
+    write_table(expectation_report(spark, seen), f"{out_dir}/expectations", partitions=1)
+    written = {"silver": silver, "quarantine": write_table(rejected, f"{out_dir}/quarantine")}
     written.update(write_gold(gold, out_dir, tables))
     return written

@@ -5,7 +5,6 @@ the query log). Plans are lazy; silver is declared once per (session, sf_dir).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,12 +18,15 @@ from govlens.operators import alerts as AL
 from govlens.operators import gaps as G
 from govlens.operators import silver as S
 from govlens.operators import structure as ST
+from govlens.operators.rollups import kpi_rollup
 from govlens.operators.feedback import feedback_latest, feedback_stats
 from govlens.plans import semantic as SEM
-from govlens.plans.hints import ensure_checkpoint_dir
+from govlens.plans.hints import shared_folder
 from govlens.plans.pipeline import Gold, gold_from_sf, write_table
 from govlens.sources import reference as R
-from govlens.sources.raw import AUDIT_COLUMNS, bronze_from_lineitem, raw_from_lineitem
+from govlens.sources.raw import (
+    AUDIT_COLUMNS, bronze_from_lineitem, corrupt_csv_rows, csv_row_counts, lineitem_csv, raw_from_lineitem, read_raw_csv,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,9 +42,9 @@ def gold_for(spark: SparkSession, sf_dir: str) -> Gold:
     folder and read back, so the registered queries share it and start from files."""
     k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _GOLD:
-        folder = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        folder = shared_folder(spark)
         silver = S.build_silver(_bronze(spark, sf_dir), rubric_from_conf(spark), stripped=True)
-        silver = write_table(silver, f"{folder.rstrip('/')}/silver-{uuid.uuid4().hex}")
+        silver = write_table(silver, f"{folder}/silver-{uuid.uuid4().hex}")
         _GOLD[k] = gold_from_sf(spark, sf_dir, silver=silver)
     return _GOLD[k]
 
@@ -68,9 +70,23 @@ def _silver(spark, sf):
     return gold_for(spark, sf).silver
 
 
+_CSV: dict[tuple[str, str], str] = {}
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> str:
+    """The raw rows as CSV files of several layouts, written once per (application, sf_dir)."""
+    k = (spark.sparkContext.applicationId, sf_dir)
+    if k not in _CSV:
+        _CSV[k] = lineitem_csv(spark, sf_dir, f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}")
+    return _CSV[k]
+
+
 QUERIES: dict[str, Query] = {
     # sources and silver steps
     "raw_scan": lambda spark, sf: raw_from_lineitem(spark, sf),
+    "csv_scan": lambda spark, sf: _no_audit(read_raw_csv(spark, _csv(spark, sf))),
+    "csv_corrupt_rows": lambda spark, sf: corrupt_csv_rows(spark, _csv(spark, sf)).drop("_source_file"),
+    "csv_row_counts": lambda spark, sf: csv_row_counts(spark, _csv(spark, sf)),
     "null_tokens": lambda spark, sf: _no_audit(_bronze(spark, sf)),
     "typed_flags": lambda spark, sf: S.cast_types(_bronze(spark, sf)).select(
         F.col("column_id").alias("source_column_id"), "pii_flag", "critical_data_element_flag",
@@ -106,6 +122,7 @@ QUERIES: dict[str, Query] = {
         "kpi_summary", "cert_level_summary", "pii_classification_summary", "domain_summary",
         "structural_consistency", "structural_summary", "governance_gaps",
         "asset_access_policy", "asset_access_check")},
+    "kpi_rollup": lambda spark, sf: kpi_rollup(_silver(spark, sf)),
     # reference dimensions, as used by the catalog
     "region_assignment": lambda spark, sf: A.region_rules_in_use(
         _silver(spark, sf), gold_for(spark, sf)["region_assignment"]),

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govlens.functions.exact import finish, half_up_div
+from govlens.functions.exact_sum import exact_avg
 from govlens.functions.labels import asset_location, health_band, maturity_tier
 from govlens.operators.gaps import gap_reason_column
 from govlens.operators.rollups import domain_column
 from govlens.operators.scoring import PROFILE_COLUMNS
-from govlens.operators.access import CHECK_COLUMNS, access_pairs
+from govlens.operators.access import CHECK_COLUMNS, access_for, access_pairs
 
 Gold = dict  # name -> DataFrame (see plans.pipeline.Gold)
 
@@ -58,7 +59,7 @@ def _avg_completeness() -> Column:
 MEASURES: dict[str, tuple[str, Callable[[], Column]]] = {
     "governance_score": ("table_governance", lambda: _avg_cents("table_governance_score")),
     "completeness": ("scores_pre", lambda: _avg_completeness()),
-    "quality": ("profile", lambda: F.avg(100 - F.col("dq_invalid_pct"))),
+    "quality": ("profile", lambda: exact_avg(100 - F.col("dq_invalid_pct"))),
     "gap_count": ("governance_gaps", lambda: F.count("column_id")),
     "registered": ("profile", lambda: _count_when(F.col("achieved_cert_level") == "Registered")),
     "documented": ("profile", lambda: _count_when(F.col("achieved_cert_level") == "Documented")),
@@ -66,7 +67,7 @@ MEASURES: dict[str, tuple[str, Callable[[], Column]]] = {
     "unclassified": ("profile", lambda: _count_when(F.col("achieved_cert_level") == "None")),
     "pii": ("profile", lambda: _count_when(F.col("pii_flag") == True)),  # noqa: E712
     "cde": ("profile", lambda: _count_when(F.col("critical_data_element_flag") == True)),  # noqa: E712
-    "avg_invalid": ("profile", lambda: F.avg("dq_invalid_pct")),
+    "avg_invalid": ("profile", lambda: exact_avg("dq_invalid_pct")),
     "tables": ("table_governance", lambda: F.count_distinct("table_id")),
     "schemas": ("table_structure", lambda: F.count_distinct("schema_id")),
     "databases": ("table_structure", lambda: F.count_distinct("database_id")),
@@ -251,8 +252,7 @@ def q_owners(gold: Gold, table_name: str | None = None) -> DataFrame:
 def q_access(gold: Gold, table_name: str = "tbl_1", user_email: str = "u1@example.com") -> DataFrame:
     """Can the user access the table? Filters reach both join inputs before the
     join; among same-named tables the smallest location/id answers."""
-    df = gold["asset_access_check"].filter(
-        (F.col("table_name") == table_name) & (F.col("user_email") == user_email))
+    df = access_for(gold["asset_access_policy"], gold["user_profile"], table_name, user_email)
     return (df.orderBy("asset_location", "table_id").limit(1)
             .select("asset_location", "access_decision", "access_reason", "asset_region",
                     "policy_rationale"))
@@ -286,8 +286,8 @@ def q_classification(gold: Gold) -> DataFrame:
 def q_structural_issues(gold: Gold) -> DataFrame:
     return (apply_filter(gold, "outliers")
             .select("table_name", "column_count", "standard_column_count", "structural_status",
-                    "corrective_action")
-            .orderBy("table_name"))
+                    "corrective_action", "table_id")
+            .orderBy("table_name", "table_id").drop("table_id"))
 
 
 def q_structural_rate(gold: Gold) -> DataFrame:

@@ -76,25 +76,93 @@ def to_bronze(df: DataFrame, tokens=NULL_TOKENS, source: str | None = None) -> D
     return with_audit_columns(out, source)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _csv_reader(spark: SparkSession, multi_line: bool):
+    return (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
+
+
+def csv_headers(spark: SparkSession, path: str, multi_line: bool = False, parallelism: int = 16) -> dict[tuple[str, ...], list[str]]:
+    """Header -> files of every CSV file under ``path``; files without a line are left out.
+
+    One small Spark job a file reads its first line, ``parallelism`` at a time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    files = sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        headers = list(pool.map(lambda f: tuple(_csv_reader(spark, multi_line).csv(f).columns), files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for header, file in zip(headers, files, strict=True):
+        if header:
+            groups.setdefault(header, []).append(file)
+    return groups
+
+
+def scan_raw_csv(spark: SparkSession, path: str, multi_line: bool = False, columns=RAW_COLUMNS) -> DataFrame:
+    """Every row of the CSV files under ``path``: the raw columns as text, ``_source_file``, and the
+    row's own text in ``_corrupt_record`` where it has more or fewer values than its header.
+
+    Values are bound by name: files are grouped by header, each group is one distributed scan with
+    that header as its schema (extra columns dropped), and the scans are united by name. A
+    file whose header lacks a raw column is an error that names the file and the column. Spark
+    compares each file's header with the schema again (``enforceSchema`` off). Files are
+    split unless ``multi_line`` (values with line ends) needs them whole."""
+    groups = csv_headers(spark, path, multi_line)
+    short = [f"{files[0]} lacks columns: {', '.join(c for c in columns if c not in header)}"
+             for header, files in groups.items() if not set(columns) <= set(header)]
+    if short or not groups:
+        raise MissingColumnsError("; ".join(short) or f"no CSV file with a header under {path}")
+    scans = []
+    for header, files in groups.items():
+        schema = StructType([StructField(c, StringType(), True) for c in (*header, CORRUPT)])
+        df = _csv_reader(spark, multi_line).schema(schema).option("enforceSchema", False).csv(files)
+        # Spark counts a row's values only where a query reads all columns, so the text refers to all
+        every = F.concat_ws("", *[F.col(f"`{c}`") for c in header])
+        text = F.when(F.col(CORRUPT).isNotNull(), F.concat(F.col(CORRUPT), F.left(every, F.lit(0))))
+        scans.append(df.select(*[F.col(f"`{c}`") for c in columns], text.alias(CORRUPT), F.regexp_replace(
+            F.col("_metadata.file_path"), r"\?.*$", "").alias("_source_file")))
+    out = scans[0]
+    for more in scans[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def read_raw_csv(spark: SparkSession, path: str, tokens=NULL_TOKENS, multi_line: bool = False) -> DataFrame:
-    """Distributed CSV scan of raw catalog rows, all strings, selected by header name.
-
-    The columns' order comes from one file's header; every file's header must then be the
-    same (``enforceSchema`` off: Spark compares each file's header and fails the job if it
-    differs), so no value is ever bound to another column. Files are split unless
-    ``multi_line`` (values with line ends) needs them whole.
-    """
-    def reader():
-        return (spark.read.option("header", True).option("multiLine", multi_line)
-                .option("escape", '"').option("mode", "PERMISSIVE"))
-
-    header = StructType([StructField(c, StringType(), True) for c in reader().csv(path).columns])
-    df = reader().schema(header).option("enforceSchema", False).csv(path)
-    out = apply_null_tokens(select_raw_columns(df), tokens)
-    return out.withColumns({
-        "_ingestion_timestamp": F.current_timestamp(),
-        "_source_file": F.regexp_replace(F.input_file_name(), r"\?.*$", ""),
-    })
+    """Bronze rows of the CSV files under ``path`` (see :func:`scan_raw_csv`), without corrupt rows,
+    which :func:`corrupt_csv_rows` gives."""
+    return _good(scan_raw_csv(spark, path, multi_line), tokens)
+
+
+def _good(scan: DataFrame, tokens) -> DataFrame:
+    rows = scan.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return apply_null_tokens(rows, tokens, RAW_COLUMNS).select(*RAW_COLUMNS, F.current_timestamp().alias("_ingestion_timestamp"), "_source_file")
+
+
+CORRUPT_REASON = "corrupt_record"
+
+
+def corrupt_csv_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The rows that do not have their header's number of values: file, text and reason."""
+    return _corrupt(scan_raw_csv(spark, path, multi_line))
+
+
+def _corrupt(scan: DataFrame) -> DataFrame:
+    return scan.filter(F.col(CORRUPT).isNotNull()).select(
+        "_source_file", F.col(CORRUPT).alias("_raw_text"), F.lit(CORRUPT_REASON).alias("_failed_expectations"))
+
+
+def split_raw_csv(spark: SparkSession, path: str, tokens=NULL_TOKENS, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(bronze rows, corrupt rows) with the headers read once."""
+    scan = scan_raw_csv(spark, path, multi_line)
+    return _good(scan, tokens), _corrupt(scan)
+
+
+def csv_row_counts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Good and corrupt rows in one scan."""
+    corrupt = F.col(CORRUPT).isNotNull()
+    return scan_raw_csv(spark, path, multi_line).agg(F.count_if(~corrupt).alias("good_rows"), F.count_if(corrupt).alias("corrupt_rows"))
 
 
 # Raw columns derived from one lineitem row (expressions shared by Spark SQL
@@ -166,3 +234,28 @@ def bronze_from_lineitem(spark: SparkSession, sf_dir: str, tokens=NULL_TOKENS,
     """Bronze rows (null tokens applied, audit columns added) from lineitem."""
     raw = raw_from_lineitem(spark, sf_dir, partitions)
     return with_audit_columns(apply_null_tokens(raw, tokens), f"{sf_dir}/lineitem.parquet")
+
+
+def _csv_line(columns: list[str], tail: str = "") -> str:
+    cells = ", ',', ".join(f"coalesce(concat('\"', CAST({LINEITEM_RAW_EXPRS[c]} AS STRING), '\"'), '')" for c in columns)
+    return f"concat({cells}{tail})"
+
+
+def lineitem_csv(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """CSV files of the raw rows under ``folder``, one folder per layout: the raw columns in order; in
+    reverse order with one column more; and in order, but with rows cut short (order key
+    mod 50 = 7) or with a value too many (mod 50 = 9). A row's order key picks its layout."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS)
+    backwards = RAW_COLUMNS[::-1]
+    layouts = {
+        "plain": ("l_orderkey % 3 = 0", RAW_COLUMNS, _csv_line(RAW_COLUMNS)),
+        "backwards": ("l_orderkey % 3 = 1", ["comment", *backwards], _csv_line(backwards).replace("concat(", "concat('x,', ", 1)),
+        "damaged": ("l_orderkey % 3 = 2", RAW_COLUMNS, f"CASE l_orderkey % 50 WHEN 7 THEN {_csv_line(RAW_COLUMNS[:20])} "
+                    f"WHEN 9 THEN {_csv_line(RAW_COLUMNS, tail=chr(44) + ' ' + repr(',more'))} ELSE {_csv_line(RAW_COLUMNS)} END"),
+    }
+    for name, (rows, header, line) in layouts.items():
+        # one cell a row under the layout's header; written as it is, without quoting
+        (li.filter(rows).select(F.expr(line).alias(",".join(header))).write.mode("overwrite")
+         .option("header", True).option("sep", "\x01").option("quote", "").option("escapeQuotes", False).option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/{name}"))
+    return f"{folder}/*"

@@ -64,6 +64,13 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def exact_avg(expr: str) -> str:
+    """Average of doubles from their exact sum: whole units of 2^-64 in 128-bit integers, rounded once."""
+    units = f"sum(CAST(({expr}) * pow(2, 64) AS HUGEINT))"
+    return (f"(CAST({units} // 1099511627776 AS DOUBLE) * 1099511627776 + CAST({units} % 1099511627776 AS DOUBLE)) "
+            f"/ pow(2, 64) / count({expr})")
+
+
 def sround(expr: str, d: int) -> str:
     """Spark's round(double, d): half-up on the shortest decimal text."""
     return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,12)), {d}) AS DOUBLE)"
@@ -261,7 +268,7 @@ FROM silver),
 kpi_base AS (SELECT count(*) AS total_columns, count(DISTINCT table_id) AS total_tables,
   count(DISTINCT schema_id) AS total_schemas, count(DISTINCT database_id) AS total_databases,
   {xavg_completeness(2)} AS avg_completeness_pct,
-  {sround('avg(dq_invalid_pct)', 2)} AS avg_dq_invalid_pct,
+  {sround(exact_avg('dq_invalid_pct'), 2)} AS avg_dq_invalid_pct,
   CAST(sum(CAST(pii_flag AS INTEGER)) AS BIGINT) AS pii_columns,
   CAST(sum(CAST(critical_data_element_flag AS INTEGER)) AS BIGINT) AS critical_columns,
   {_levels_sum()}
@@ -348,6 +355,27 @@ def _sql_queries() -> dict[str, str]:
     s: dict[str, str] = {}
     s["raw_scan"] = "SELECT * FROM raw"
     s["null_tokens"] = "SELECT * FROM bronze"
+    key = "CAST(split_part(column_id, '-', 1) AS BIGINT)"
+    damaged = f"{key} % 3 = 2 AND {key} % 50 IN (7, 9)"
+    s["csv_scan"] = f"SELECT * FROM bronze WHERE NOT ({damaged})"
+    cells = ["coalesce('\"' || " + c + " || '\"', '')" for c in RAW_COLUMNS]
+    s["csv_corrupt_rows"] = (
+        f"SELECT CASE {key} % 50 WHEN 7 THEN {' || chr(44) || '.join(cells[:20])} "
+        f"ELSE {' || chr(44) || '.join(cells)} || ',more' END AS _raw_text, 'corrupt_record' AS _failed_expectations "
+        f"FROM raw WHERE {damaged}")
+    s["csv_row_counts"] = f"SELECT count_if(NOT ({damaged})) AS good_rows, count_if({damaged}) AS corrupt_rows FROM raw"
+    s["kpi_rollup"] = " UNION ALL ".join(
+        f"SELECT {q(level)} AS level, "
+        + ", ".join(f"{k + '_id' if n > i else 'CAST(NULL AS VARCHAR)'} AS {k}_id, "
+                    f"{f'min({k}_name)' if n > i else 'CAST(NULL AS VARCHAR)'} AS {k}_name"
+                    for i, k in enumerate(("database", "schema", "table")))
+        + ", count(*) AS total_columns, count(DISTINCT table_id) AS total_tables, count(DISTINCT schema_id) AS total_schemas, "
+          "count(DISTINCT database_id) AS total_databases, "
+        + f"{xavg_completeness(2)} AS avg_completeness_pct, {sround(exact_avg('dq_invalid_pct'), 2)} AS avg_dq_invalid_pct, "
+          "CAST(sum(CAST(pii_flag AS INTEGER)) AS BIGINT) AS pii_columns, "
+          "CAST(sum(CAST(critical_data_element_flag AS INTEGER)) AS BIGINT) AS critical_columns, "
+        + f"{_levels_sum()} FROM silver" + (" GROUP BY " + ", ".join(f"{k}_id" for k in ("database", "schema", "table")[:n]) if n else "")
+        for n, level in enumerate(("estate", "database", "schema", "table")))
     s["typed_flags"] = ("SELECT source_column_id, pii_flag, critical_data_element_flag, "
                         "total_record_count, invalid_record_count FROM typed")
     s["standardized"] = "SELECT * FROM typed"
@@ -505,7 +533,7 @@ def _more_sql() -> dict[str, str]:
     measures = {
         "governance_score": ("table_governance", "CAST(sum(CAST(round(table_governance_score * 100) AS BIGINT)) AS BIGINT) / count(table_governance_score) / 100"),
         "completeness": ("silver", "CAST(sum(checks_passed) AS BIGINT) * 100 / (count(checks_passed) * 11)"),
-        "quality": ("profile", "avg(100 - dq_invalid_pct)"),
+        "quality": ("profile", exact_avg("100 - dq_invalid_pct")),
         "gap_count": ("governance_gaps", "count(column_id)"),
         "registered": ("profile", "count(CASE WHEN achieved_cert_level = 'Registered' THEN 1 END)"),
         "documented": ("profile", "count(CASE WHEN achieved_cert_level = 'Documented' THEN 1 END)"),
@@ -513,7 +541,7 @@ def _more_sql() -> dict[str, str]:
         "unclassified": ("profile", "count(CASE WHEN achieved_cert_level = 'None' THEN 1 END)"),
         "pii": ("profile", "count(CASE WHEN pii_flag = TRUE THEN 1 END)"),
         "cde": ("profile", "count(CASE WHEN critical_data_element_flag = TRUE THEN 1 END)"),
-        "avg_invalid": ("profile", "avg(dq_invalid_pct)"),
+        "avg_invalid": ("profile", exact_avg("dq_invalid_pct")),
         "tables": ("table_governance", "count(DISTINCT table_id)"),
         "schemas": ("table_structure", "count(DISTINCT schema_id)"),
         "databases": ("table_structure", "count(DISTINCT database_id)"),

@@ -11,7 +11,10 @@ from govlens.operators.silver import build_silver
 from govlens.plans import semantic as SEM
 from govlens.plans.pipeline import gold_tables
 from govlens.sources import reference
-from govlens.sources.raw import RAW_COLUMNS, bronze_from_lineitem, read_raw_csv, to_bronze
+from govlens.plans.pipeline import run_pipeline
+from govlens.sources.raw import (
+    RAW_COLUMNS, MissingColumnsError, bronze_from_lineitem, csv_row_counts, read_raw_csv, split_raw_csv, to_bronze,
+)
 
 
 def plan(df) -> str:
@@ -107,20 +110,37 @@ def csv(path, header, *lines):
     path.write_text("\n".join([",".join(header), *lines]) + "\n")
 
 
-def test_csv_files_with_other_headers_fail(spark, tmp_path):
+def test_csv_files_are_bound_by_name(spark, tmp_path):
     line = ",".join(f"v{i}" for i in range(len(RAW_COLUMNS)))
     swapped = [RAW_COLUMNS[1], RAW_COLUMNS[0], *RAW_COLUMNS[2:]]
     csv(tmp_path / "a.csv", swapped, line)
-    one = read_raw_csv(spark, str(tmp_path)).first()
-    assert (one[RAW_COLUMNS[0]], one[RAW_COLUMNS[1]]) == ("v1", "v0")
     csv(tmp_path / "b.csv", RAW_COLUMNS, line)
-    with pytest.raises(Exception, match="(?i)header"):
-        read_raw_csv(spark, str(tmp_path)).collect()
-    (tmp_path / "missing").mkdir()
-    csv(tmp_path / "missing" / "a.csv", RAW_COLUMNS, line)
-    csv(tmp_path / "missing" / "b.csv", RAW_COLUMNS[:-1], line)
-    with pytest.raises(Exception, match="(?i)header"):
-        read_raw_csv(spark, str(tmp_path / "missing")).collect()
+    csv(tmp_path / "c.csv", ["more", *RAW_COLUMNS], "x," + line)
+    (tmp_path / "empty.csv").write_text("")
+    rows = {r["_source_file"].rsplit("/", 1)[1]: (r[RAW_COLUMNS[0]], r[RAW_COLUMNS[1]], r[RAW_COLUMNS[-1]])
+            for r in read_raw_csv(spark, str(tmp_path)).collect()}
+    assert rows == {"a.csv": ("v1", "v0", "v25"), "b.csv": ("v0", "v1", "v25"), "c.csv": ("v0", "v1", "v25")}
+
+
+def test_missing_csv_column_names_its_file(spark, tmp_path):
+    line = ",".join(f"v{i}" for i in range(len(RAW_COLUMNS)))
+    csv(tmp_path / "a.csv", RAW_COLUMNS, line)
+    csv(tmp_path / "b.csv", RAW_COLUMNS[:-1], line)
+    with pytest.raises(MissingColumnsError, match=f"b.csv lacks columns: {RAW_COLUMNS[-1]}"):
+        read_raw_csv(spark, str(tmp_path))
+
+
+def test_corrupt_csv_rows_are_kept_apart(spark, tmp_path):
+    line = ",".join(f"v{i}" for i in range(len(RAW_COLUMNS)))
+    csv(tmp_path / "a.csv", RAW_COLUMNS, line, "short,row", line + ",more")
+    csv(tmp_path / "b.csv", ["more", *RAW_COLUMNS[::-1]], "x," + line, line)
+    good, corrupt = split_raw_csv(spark, str(tmp_path))
+    assert sorted(r.column_id for r in good.collect()) == ["v0", "v25"]
+    assert sorted((r["_source_file"].rsplit("/", 1)[1], r["_raw_text"], r["_failed_expectations"]) for r in corrupt.collect()) == [
+        ("a.csv", "short,row", "corrupt_record"), ("a.csv", line + ",more", "corrupt_record"), ("b.csv", line, "corrupt_record")]
+    assert csv_row_counts(spark, str(tmp_path)).first() == (2, 3)
+    out = run_pipeline(spark, good, str(tmp_path / "out"), tables=["kpi_summary"], corrupt=corrupt)
+    assert out["quarantine"].filter("_failed_expectations = 'corrupt_record'").count() == 3
 
 
 def test_plans(spark, gold):
