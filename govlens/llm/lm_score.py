@@ -2,8 +2,9 @@
 
 A token's probability mixes maximum-likelihood estimates of the bigram, the unigram and
 the uniform distribution; the weights depend on how often the context occurs (a bucket
-per power of two) and are learned by expectation-maximisation on the held-out documents,
-whose tokens are in no count.
+per power of two) and are learned by expectation-maximisation on a part of the training
+documents, each token of which is deleted from the counts that estimate it (leave one out).
+Held-out documents are in no count and in no weight.
 
 Counting at scale: documents are gathered into blocks of a bounded number of tokens, held
 out or not. A block sends its different unigrams and bigrams with their counts, cut into
@@ -11,7 +12,7 @@ hash buckets, once through a shuffle; each bucket is summed by itself and sends
 the totals of just the n-grams that it asked for, in the order in which it asked. A frequent
 word is thus one entry a block, and nothing is looked up row by row. What is gathered grows
 with the corpus; the driver gets the number of tokens and words, and a histogram of the
-held-out probabilities on a fixed grid.
+deleted estimates on a fixed grid.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from govlens.llm.words import hashed_words, mix, word_hash
 BLOCK_TOKENS = 1_000_000
 BUCKET_BYTES = 8_000_000  # of text, for each hash bucket of n-grams
 RESIDUE = 40  # bits of a bigram's hash below its bucket's: collisions of 1 in 10^7 at any size
-GRID = 4  # steps of a probability's binary logarithm in the held-out histogram
+GRID = 4  # steps of a probability's binary logarithm in the histogram for the weights
 FLOOR = -160 * GRID
 ROUNDS = 50
 
@@ -44,7 +45,8 @@ END, START = (np.uint64(word_hash(x)) for x in (b"a text's end", b"a text's star
 class Pieces:
     """Texts (or parts of one) of a block under construction: hashes with the context of the
     first token in front."""
-    held: bool
+    held: bool  # out of training
+    weigh: bool  # in training, and its tokens teach the weights
     rows: list[tuple[int, int | None, int]] = field(default_factory=list)  # text number, doc_id, tokens
     hashes: list[np.ndarray] = field(default_factory=list)
     size: int = 0
@@ -62,48 +64,47 @@ class Pieces:
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
         numbers, ids, sizes = zip(*self.rows, strict=True)
-        return {"held": self.held, "words": words[order].tobytes(),
+        return {"held": self.held, "weigh": self.weigh, "words": words[order].tobytes(),
                 "tokens": zstandard.compress(rank[inverse].tobytes(), 3),
                 "numbers": list(numbers), "ids": list(ids), "sizes": list(sizes)}
 
 
-BLOCKS = ("block long, held boolean, words binary, tokens binary, numbers array<long>, ids array<long>, sizes array<long>")
-_BLOCKS = pa.schema([("block", pa.int64()), ("held", pa.bool_()), ("words", pa.binary()), ("tokens", pa.binary()),
+BLOCKS = ("block long, held boolean, weigh boolean, words binary, tokens binary, numbers array<long>, ids array<long>, sizes array<long>")
+_BLOCKS = pa.schema([("block", pa.int64()), ("held", pa.bool_()), ("weigh", pa.bool_()), ("words", pa.binary()), ("tokens", pa.binary()),
                      ("numbers", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
 
 def gathered(rows: DataFrame, block_tokens: int) -> DataFrame:
-    """The blocks of (doc_id, text, held). A text longer than a block goes on in the next one."""
+    """The blocks of (doc_id, text, part), part 0: held out, 1: teaches the weights. A text longer than a block goes on in the next one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 32
-        number, block = part, part
-        open_blocks = {h: Pieces(h) for h in (False, True)}
+        number = block = TaskContext.get().partitionId() << 32
+        open_blocks = {part: Pieces(part == 0, part == 1) for part in (0, 1, 2)}
 
-        def flush(held: bool) -> Iterator[pa.RecordBatch]:
+        def flush(part: int) -> Iterator[pa.RecordBatch]:
             nonlocal block
-            if open_blocks[held].rows:
-                row = {"block": block, **open_blocks[held].packed()}
+            if open_blocks[part].rows:
+                row = {"block": block, **open_blocks[part].packed()}
                 block += 1
-                open_blocks[held] = Pieces(held)
+                open_blocks[part] = Pieces(part == 0, part == 1)
                 yield pa.RecordBatch.from_pylist([row], schema=_BLOCKS)
 
         for batch in batches:
-            for doc_id, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(),
+            for doc_id, text, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(),
                                           strict=True):
                 tokens = np.concatenate([[START], hashed_words(text.as_py()), [END]]).astype(np.uint64)
                 at = 0
                 while at < len(tokens) - 1:
-                    pieces = open_blocks[held]
+                    pieces = open_blocks[part]
                     some = tokens[at:at + 1 + max(1, block_tokens - pieces.size)]
                     pieces.add(number, doc_id, some)
                     at += len(some) - 1
                     if pieces.size >= block_tokens:
-                        yield from flush(held)
+                        yield from flush(part)
                 number += 1
-        for held in open_blocks:
-            yield from flush(held)
+        for part in open_blocks:
+            yield from flush(part)
 
-    return rows.select("doc_id", "text", "held").mapInArrow(run, BLOCKS)
+    return rows.select("doc_id", "text", "part").mapInArrow(run, BLOCKS)
 
 
 class Block:
@@ -141,9 +142,9 @@ def _cut(keys: np.ndarray, shift: int, buckets: int) -> np.ndarray:
     return np.searchsorted(keys >> np.uint64(shift), np.arange(buckets + 1, dtype=np.uint64))
 
 
-_REQUEST = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("held", pa.bool_()),
+_REQUEST = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("weigh", pa.bool_()),
                       ("keys", pa.binary()), ("counts", pa.binary())])
-REQUEST = "bucket long, block long, kind int, held boolean, keys binary, counts binary"
+REQUEST = "bucket long, block long, kind int, weigh boolean, keys binary, counts binary"
 UNIGRAMS, BIGRAMS = 0, 1
 
 
@@ -185,15 +186,15 @@ def requested(blocks: DataFrame, bits: int) -> DataFrame:
                         lo, hi = ends[bucket], ends[bucket + 1]
                         counts = np.zeros(hi - lo) if row["held"] else n[lo:hi]
                         out.append({"bucket": int(bucket) * 2 + kind, "block": row["block"], "kind": kind,
-                                    "held": row["held"], "keys": _keys(kind, keys[lo:hi]), "counts": _small(counts)})
+                                    "weigh": row["weigh"], "keys": _keys(kind, keys[lo:hi]), "counts": _small(counts)})
                 yield pa.RecordBatch.from_pylist(out, schema=_REQUEST)
 
-    return blocks.select("block", "held", "words", "tokens", "sizes").mapInArrow(run, REQUEST)
+    return blocks.select("block", "held", "weigh", "words", "tokens", "sizes").mapInArrow(run, REQUEST)
 
 
-_TOTALS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("held", pa.bool_()), ("totals", pa.binary()),
+_TOTALS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("weigh", pa.bool_()), ("totals", pa.binary()),
                      ("n", pa.int64()), ("v", pa.int64())])
-TOTALS = "block long, bucket long, held boolean, totals binary, n long, v long"
+TOTALS = "block long, bucket long, weigh boolean, totals binary, n long, v long"
 
 
 def answered(requests: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ def answered(requests: DataFrame) -> DataFrame:
         total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
         at = 0
         for r, c in zip(rows, counts, strict=True):
-            out.append({"block": r["block"], "bucket": r["bucket"], "held": r["held"],
+            out.append({"block": r["block"], "bucket": r["bucket"], "weigh": r["weigh"],
                         "totals": _small(total[inverse[at:at + len(c)]])})
             at += len(c)
         if kind == UNIGRAMS:
@@ -254,13 +255,14 @@ def _with_totals(blocks: DataFrame, totals: DataFrame, function, schema: str) ->
     return both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, schema)
 
 
-def _estimates(b: Block, found: list[tuple[int, bytes]], n: int, v: int):
-    """Per scored token: its corpus count, context bucket, and the three estimates."""
+def _estimates(b: Block, found: list[tuple[int, bytes]], n: int, v: int, deleted: int = 0):
+    """Per scored token: its corpus count, context bucket, and the three estimates; with ``deleted``
+    1 the token itself, one of the corpus, is taken out of the counts."""
     per = {k: [_counts(t) for bucket, t in found if bucket % 2 == k] for k in (UNIGRAMS, BIGRAMS)}
     words = np.zeros(len(b.words), np.int64)
     words[b.sorted] = np.concatenate(per[UNIGRAMS])
     pairs = np.concatenate(per[BIGRAMS])[b.pair]
-    context, count = words[b.before], words[b.after]
+    context, count, pairs, n = words[b.before] - deleted, words[b.after] - deleted, pairs - deleted, n - deleted
     level = np.ceil(np.log2(context + 1)).astype(np.int64)  # 0: the context is not known
     return count, level, pairs / np.maximum(context, 1), count / max(n, 1), 1 / (v + 1)
 
@@ -270,21 +272,21 @@ def _grid(p: np.ndarray) -> np.ndarray:
         return np.maximum(np.round(GRID * np.log2(p)), FLOOR).astype(np.int64)
 
 
-def held_out_histogram(blocks: DataFrame, totals: DataFrame, bits: int, n: int, v: int) -> DataFrame:
-    """level, p2, p1 (grid steps) and tokens, of the held-out blocks: at most some 40 levels of
-    (640 steps)^2, however many documents there are."""
+def deleted_histogram(blocks: DataFrame, totals: DataFrame, bits: int, n: int, v: int) -> DataFrame:
+    """level, p2, p1 (grid steps) and tokens, of the blocks that teach the weights: at most some 40
+    levels of (640 steps)^2, however many documents there are."""
     def function(row: dict, found: list) -> pa.RecordBatch:
-        _, level, p2, p1, _ = _estimates(Block(row, bits), found, n, v)
+        _, level, p2, p1, _ = _estimates(Block(row, bits), found, n, v, deleted=1)
         cell, count = np.unique(np.stack([level, _grid(p2), _grid(p1)]), axis=1, return_counts=True)
         return pa.RecordBatch.from_arrays([*(pa.array(x) for x in cell), pa.array(count)], ["level", "p2", "p1", "n"])
 
-    cells = _with_totals(blocks.filter("held"), totals.filter("held"), function, "level long, p2 long, p1 long, n long")
+    cells = _with_totals(blocks.filter("weigh"), totals.filter("weigh"), function, "level long, p2 long, p1 long, n long")
     return cells.groupBy("level", "p2", "p1").agg(F.sum("n").alias("n"))
 
 
 def learned(cells: list[tuple[int, int, int, int]], uniform: float, rounds: int = ROUNDS) -> dict[int, tuple]:
     """Weights (bigram, unigram, uniform) of each level by expectation-maximisation; level -1
-    has those of all levels together, for levels that no held-out token has."""
+    has those of all levels together, for levels that no token that teaches them has."""
     def em(c: np.ndarray) -> tuple:
         p = np.stack([np.where(c[:, i] <= FLOOR, 0.0, 2.0 ** (c[:, i] / GRID)) for i in (1, 2)]
                      + [np.full(len(c), uniform)], axis=1)
@@ -334,21 +336,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and score (both log10 of the whole text's probability).
 
     Held out are documents with crc32(doc_id as text) mod ``held_out_of`` = 0; those without an
-    id are not. Tokens are words (A-Z lower-cased, cut at space and \\x09-\\x0D) and an end; null
+    id are not. All others are counted, and those with remainder 1 teach the weights. Tokens are words (A-Z lower-cased, cut at space and \\x09-\\x0D) and an end; null
     and empty texts have the end alone. Repeated rows are scored, and counted, each. Other
-    columns are ignored; an empty table gives an empty result. Without held-out tokens the
-    three estimates weigh the same.
+    columns are ignored; an empty table gives an empty result. Without a document of
+    remainder 1 the three estimates weigh the same.
     """
     spark = docs.sparkSession
     ship(spark)
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(held_out_of)) == 0, F.lit(False))
-    rows = texts(docs, id_col, text_col).withColumn("held", held)
+    part = F.least(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(held_out_of)), F.lit(2))
+    rows = texts(docs, id_col, text_col).withColumn("part", F.coalesce(part, F.lit(2)).cast("int"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = max(2, (size // BUCKET_BYTES).bit_length())
+    bits = min(max(2, (size // BUCKET_BYTES).bit_length()), 64 - RESIDUE)
     blocks = written(gathered(rows, block_tokens), "blocks")
     totals = written(answered(requested(blocks, bits)), "totals")
     n, v = totals.filter("block is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    cells = [tuple(r) for r in held_out_histogram(blocks, totals, bits, n, v).collect()]
+    cells = [tuple(r) for r in deleted_histogram(blocks, totals, bits, n, v).collect()]
     weights = learned(cells, 1 / (v + 1))
     return (scored(blocks, totals, bits, n, v, weights).groupBy("number").agg(
         F.min("doc_id").alias("doc_id"), F.every("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
