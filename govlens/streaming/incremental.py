@@ -13,11 +13,12 @@ bounded by the number of assets, not by time.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govlens.functions.rubric import Rubric
-from govlens.operators.silver import best_first, prepare, silver_from_prepared
+from govlens.operators.silver import best_first, dedup_best, prepare, silver_from_prepared
 from govlens.sources.raw import NULL_TOKENS, apply_null_tokens, raw_schema
 
 
@@ -67,3 +68,66 @@ def current_silver(spark: SparkSession, updates_dir: str, rubric: Rubric | None
     """Silver from the accumulated keep-best updates."""
     updates = spark.read.parquet(updates_dir).drop("batch")
     return silver_from_prepared(updates, rubric)
+
+
+BUCKET = "_bucket"
+
+
+def upsert_best(batch: DataFrame, table_dir: str, buckets: int = 64, key: str = "column_id") -> None:
+    """Merge prepared rows into the stored keep-best table at ``table_dir``, copying only the buckets
+    that hold a key of the batch.
+
+    The table is partitioned by a hash bucket of the key, one file a bucket. Touched buckets are read,
+    reduced together with the batch and written in place of the old ones (dynamic partition
+    overwrite: staged, then moved); others are neither read nor written. The reduction is
+    idempotent, so a batch that is repeated after a failure leaves the same table. ``buckets`` is
+    fixed by the first batch: size it so that one holds a few hundred MB."""
+    spark = batch.sparkSession
+    number = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+    # per task first: a key of very many snapshots is a row of each
+    new = dedup_best(batch.drop(BUCKET), key).withColumn(BUCKET, number)
+    touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # bounded by ``buckets``
+    try:
+        old = spark.read.schema(new.schema).parquet(table_dir).filter(F.col(BUCKET).isin(touched))
+        new = old.unionByName(new)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    merged = dedup_best(new.drop(BUCKET), key).withColumn(BUCKET, number)
+    (merged.repartition(min(len(touched), buckets) or 1, BUCKET).write.mode("overwrite").partitionBy(BUCKET)
+     .option("partitionOverwriteMode", "dynamic").parquet(table_dir))
+
+
+def upsert_stream(spark: SparkSession, bronze_dir: str, table_dir: str, checkpoint: str, buckets: int = 64,
+                  bronze_schema=None, synonyms=None, max_files_per_trigger: int | None = None):
+    """Start an available-now stream that merges new bronze files into the stored keep-best table."""
+    schema = bronze_schema or spark.read.parquet(bronze_dir).schema
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upsert_best(batch, table_dir, buckets)
+
+    return (prepare(reader.parquet(bronze_dir), synonyms).writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(write).trigger(availableNow=True).start())
+
+
+def stored_silver(spark: SparkSession, table_dir: str, rubric: Rubric | None = None) -> DataFrame:
+    """Silver from the stored keep-best table."""
+    return silver_from_prepared(spark.read.parquet(table_dir).drop(BUCKET), rubric)
+
+
+def fire_once_stream(spark: SparkSession, alerts_dir: str, fired_dir: str, checkpoint: str, schema):
+    """Start an available-now stream over alert rows (``rule_id``, ``triggered``, ...; any number of
+    writers append to ``alerts_dir``) that fires every rule once.
+
+    Which rules have fired is the stream's keyed state. A batch's rules go to ``fired_dir/batch=<id>``,
+    overwritten when the batch is repeated, so a replay fires nothing twice."""
+    rows = spark.readStream.schema(schema).parquet(alerts_dir).filter("triggered").drop("triggered")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("fired_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{fired_dir}/batch={batch_id}")
+
+    return (rows.dropDuplicates(["rule_id"]).writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(write).trigger(availableNow=True).start())
