@@ -633,6 +633,7 @@ def _more_sql() -> dict[str, str]:
         "SELECT database_name, schema_name, table_name, column_name FROM table_structure WHERE "
         "contains(lower(database_name), 'col_1') OR contains(lower(schema_name), 'col_1') OR "
         "contains(lower(table_name), 'col_1') OR contains(lower(column_name), 'col_1')")
+    s["catalog_search_indexed"] = s["catalog_search"]
     s["app_top_tables"] = (
         f"SELECT system_name, database_name, schema_name, table_name, table_desc, data_steward, column_count, "
         f"{sround('table_governance_score', 1)} AS governance_score, "

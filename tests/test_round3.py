@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from govlens.operators import access as A
 from govlens.operators import rollups
+from govlens.operators import search
 from govlens.operators import silver as S
 from govlens.plans.pipeline import gold_tables, run_pipeline, write_gold
+from govlens.plans.semantic import catalog_search
 from govlens.sources import reference as R
 from govlens.sources.raw import bronze_from_lineitem, to_bronze
 from govlens.streaming import incremental as I
@@ -147,3 +149,20 @@ def test_rules_fire_once_over_replays_and_writers(spark, tmp_path):
     if os.path.exists(crc):
         os.remove(crc)
     assert fired() == ["a", "b", "c"]
+
+
+def test_indexed_search_equals_the_scan(spark, tmp_path):
+    silver = S.build_silver(bronze_from_lineitem(spark, SF_SMALL), stripped=True)
+    silver.write.parquet(f"{tmp_path}/silver")
+    gold = gold_tables(spark.read.parquet(f"{tmp_path}/silver"), R.region_assignment(spark), R.user_profile(spark))
+    path = f"{tmp_path}/index"
+    search.write_search_index(gold["table_structure"], path, 16)
+    for pattern in ("col_1", "TBL_19", "finance_", "x", "l_1", "no such name", "bl_"):
+        got = search.indexed_search(spark, path, pattern, 16)
+        want = catalog_search(gold, pattern)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), pattern
+    grams = search.matching_names(spark, path, "tbl_19", 16)
+    plan = grams._jdf.queryExecution().executedPlan().toString()
+    assert "folder" in plan.split("PartitionFilters: ")[1][:20] and "In(gram, [" in plan.split("PushedFilters: ")[1]
+    read = spark.read.parquet(f"{path}/grams")
+    assert len(grams.inputFiles()) <= len(read.inputFiles())
