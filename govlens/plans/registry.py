@@ -18,7 +18,7 @@ from govlens.operators import alerts as AL
 from govlens.operators import gaps as G
 from govlens.operators import silver as S
 from govlens.operators import structure as ST
-from govlens.operators.rollups import approx_distinct, distinct_sketches, kpi_rollup
+from govlens.operators.rollups import checked_estimates, kpi_rollup
 from govlens.operators.search import indexed_search, write_search_index
 from govlens.operators.feedback import feedback_latest, feedback_stats
 from govlens.plans import semantic as SEM
@@ -136,7 +136,7 @@ QUERIES: dict[str, Query] = {
         "structural_consistency", "structural_summary", "governance_gaps",
         "asset_access_policy", "asset_access_check")},
     "kpi_rollup": lambda spark, sf: kpi_rollup(_silver(spark, sf)),
-    "approx_distinct_by_domain": lambda spark, sf: approx_distinct(distinct_sketches(_silver(spark, sf)), ["domain"]),
+    "approx_distinct_by_domain": lambda spark, sf: checked_estimates(_silver(spark, sf), ["domain"]),
     # reference dimensions, as used by the catalog
     "region_assignment": lambda spark, sf: A.region_rules_in_use(
         _silver(spark, sf), gold_for(spark, sf)["region_assignment"]),

@@ -363,6 +363,9 @@ def _sql_queries() -> dict[str, str]:
         f"SELECT CASE {key} % 50 WHEN 7 THEN {' || chr(44) || '.join(cells[:20])} "
         f"ELSE {' || chr(44) || '.join(cells)} || ',more' END AS _raw_text, 'corrupt_record' AS _failed_expectations "
         f"FROM raw WHERE {damaged}")
+    s["approx_distinct_by_domain"] = (
+        f"SELECT {_domain} AS domain, count(DISTINCT table_id) AS total_tables, count(DISTINCT schema_id) AS total_schemas, "
+        "count(DISTINCT database_id) AS total_databases, TRUE AS within_bound FROM silver GROUP BY 1")
     s["csv_row_counts"] = f"SELECT count_if(NOT ({damaged})) AS good_rows, count_if({damaged}) AS corrupt_rows FROM raw"
     s["kpi_rollup"] = " UNION ALL ".join(
         f"SELECT {q(level)} AS level, "
