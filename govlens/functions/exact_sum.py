@@ -1,7 +1,7 @@
 """Sums and averages of doubles that do not depend on the order of the rows.
 
 A double is a whole number of units of 2^(20 g): its digits to the base 2^20 at the places g are
-integers below 2^20, taken by flooring and subtracting, which is exact for doubles. Integer sums of
+integers below 2^20, taken by scaling, remainder and flooring, which is exact for doubles. Integer sums of
 each digit are exact in any order and any partitioning, as an ordinary aggregate with BIGINT buffers
 (partial, in codegen; a digit's sum holds 2^43 rows, beyond which ANSI mode raises). The digits
 of the total, with carries, give the double nearest to the exact sum: the leading 80 bits and more
@@ -40,12 +40,6 @@ RATIO = Span(-64, 72)
 WIDE = Span(-220, 220)
 
 
-def _floor(x: Column) -> Column:
-    """floor of a double of any size as a double (``floor`` gives a BIGINT)."""
-    whole = F.abs(x) >= F.lit(2.0 ** 52)
-    return F.when(whole, x).otherwise(F.floor(F.when(whole, F.lit(0.0)).otherwise(x)).cast("double"))
-
-
 def digits(col: str | Column, span: Span = RATIO) -> list[Column]:
     """The value's digits, lowest place first, as BIGINT with the value's sign; null values and those
     outside ``span`` have zeros."""
@@ -53,11 +47,8 @@ def digits(col: str | Column, span: Span = RATIO) -> list[Column]:
     size = F.when(_inside(x, span), F.abs(x)).otherwise(F.lit(0.0))
     sign = F.when(x < 0, F.lit(-1)).otherwise(F.lit(1))
     base = F.lit(float(1 << BITS))
-    out = []
-    for g in span.places:
-        low, high = (_floor(size * F.lit(2.0 ** (-BITS * p))) for p in (g, g + 1))
-        out.append(((low - base * high).cast("bigint") * sign))
-    return out
+    # scaling by a power of two and the remainder are exact for doubles
+    return [F.floor((size * F.lit(2.0 ** (-BITS * g))) % base) * sign for g in span.places]
 
 
 def _inside(x: Column, span: Span) -> Column:
