@@ -40,16 +40,52 @@ def components_of_buckets(members: DataFrame, links_of: Callable[[DataFrame], Da
     ``members``: :func:`shared_buckets`. ``links_of`` takes distinct pairs a < b and gives
     those that are linked. ``links_across`` takes the open buckets (key, id, component) and
     gives all links in them between different components."""
+    groups, mixed = _by_ends(members, links_of)
+    if mixed.isEmpty():
+        return groups
+    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return connected_components(stars.union(links_across(mixed)))
+
+
+def components_in_rounds(members: DataFrame, links_of: Callable[[DataFrame], DataFrame],
+                         some_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As :func:`components_of_buckets`, but with few links at a time: ``some_links`` takes the
+    open buckets and gives (key, a, b), for each component a of each bucket at least one
+    linked component b of this bucket, if there is any.
+
+    What a round links is merged before the next, so at least half of the components that can
+    be linked are gone after it. A bucket without a link, or with one component left, is done;
+    of buckets with the same members one is enough."""
+    groups, mixed = _by_ends(members, links_of)
+    mixed = written(different_buckets(mixed), "open")
+    edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    while not mixed.isEmpty():
+        links = written(some_links(mixed), "links")
+        edges = edges.union(links.select("a", "b").distinct())
+        merged = written(connected_components(links), "merged").select(
+            F.col("node").alias("component"), F.col("component").alias("root"))
+        linked = mixed.join(links.select("key").distinct(), "key")
+        mixed = mixed_buckets(linked.join(merged, "component", "left").select(
+            "key", "id", F.coalesce("root", "component").alias("component")))
+    return connected_components(edges)
+
+
+def _by_ends(members: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Components by comparing every node with the ends of its buckets, and the buckets still open."""
     reach = members.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     pairs = (reach.select(F.explode(F.array(_ordered("id", "lo"), _ordered("id", "hi"))).alias("p")).select("p.*")
              .filter(F.col("a") < F.col("b")).distinct())
     groups = written(connected_components(links_of(pairs)), "components")
     mixed = mixed_buckets(members.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("component")))
-    if mixed.isEmpty():
-        return groups
-    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return connected_components(stars.union(links_across(mixed)))
+    return groups, mixed
+
+
+def different_buckets(mixed: DataFrame) -> DataFrame:
+    """One bucket of those with the same members, told by their number and two 64-bit sums of hashes."""
+    prints = mixed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
+                                      F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    return mixed.join(prints.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
 
 
 def mixed_buckets(members: DataFrame) -> DataFrame:
