@@ -101,11 +101,11 @@ WITH RECURSIVE l AS (
 ), c AS (
   SELECT DISTINCT line FROM l WHERE strlen(line) >= 25
 ), v AS (
-  SELECT line, CASE WHEN length(line) <= 16 * len(string_split(line, ' ')) THEN string_split(line, ' ')
-    ELSE string_split(regexp_replace(line, '(\\S{12})', '\\1 ', 'g'), ' ') END AS w FROM c
+  SELECT line, string_split(line, ' ') AS w FROM c
 ), s AS (
-  SELECT DISTINCT line, w[i] || ' ' || coalesce(left(w[i + 1], 6), '') AS s
-  FROM (SELECT line, w, unnest(range(1, len(w) + 1)) AS i FROM v)
+  SELECT DISTINCT line, unnest(CASE WHEN length(line) <= 200 OR length(line) > 16 * len(w)
+    THEN list_transform(range(1, length(line) - 3), lambda i: substr(line, i, 5))
+    ELSE list_transform(range(1, len(w) + 1), lambda i: w[i] || ' ' || coalesce(left(w[i + 1], 1), '')) END) AS s FROM v
 ), n AS (
   SELECT line, count(*) AS n FROM s GROUP BY line
 ), e AS (
@@ -119,8 +119,8 @@ WITH RECURSIVE l AS (
 ), g AS (
   SELECT line, min(node) AS component FROM reach GROUP BY line
 ), k AS (
-  SELECT l.doc_id, l.place, l.part, component IS NULL OR row_number() OVER (
-    PARTITION BY component ORDER BY l.doc_id, l.place) = 1 AS stays
+  SELECT l.doc_id, l.place, l.part, l.line = '' OR row_number() OVER (
+    PARTITION BY coalesce(component, l.line) ORDER BY l.doc_id, l.place) = 1 AS stays
   FROM l LEFT JOIN g ON g.line = l.line
 )
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(k.part, chr(10) ORDER BY k.place) FILTER (WHERE k.stays), '') END AS text,
