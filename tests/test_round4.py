@@ -1,9 +1,10 @@
-"""What the dedup shuffles and how the raw rows are dealt."""
+"""What the dedup shuffles, how the raw rows are dealt, and what the search index stores."""
 
 import random
 
 from conftest import SF_SMALL, good_row, raw_rows
 
+from govlens.operators import search
 from govlens.operators import silver as S
 from govlens.plans import registry
 from govlens.sources.raw import RAW_COLUMNS, bronze_from_lineitem, to_bronze
@@ -54,3 +55,14 @@ def test_raw_rows_are_dealt_over_more_tasks_as_they_grow(spark, monkeypatch):
     df = registry._bronze(spark, SF_SMALL)
     assert f", {-(-rows // 100)})" in plan_of(df)[1].replace(", REPARTITION_BY_NUM", ")") and rows > 1000
     assert df.count() == rows
+
+
+def test_the_index_stores_no_ids_and_gives_each_row_once(spark, tmp_path):
+    rows = [("1", "col_db", "col_s", "col_t", "COL_x"), ("2", "d", "s", "xcol_", None), ("3", None, "s", "t", "c"),
+            ("4", "same", "SAME", "same_col_", "same"), ("5", "col_db", "col_s", "col_t", "COL_x")]
+    catalog = spark.createDataFrame(rows, "column_id string, database_name string, schema_name string, table_name string, column_name string")
+    search.write_search_index(catalog, f"{tmp_path}/index", 4)
+    assert "column_id" not in spark.read.parquet(f"{tmp_path}/index/rows").columns
+    for pattern, want in (("col_", (0, 1, 3, 4)), ("same", (3,)), ("s", (0, 1, 2, 3, 4)), ("c", (0, 1, 2, 3, 4)), ("zzz", ())):
+        got = search.indexed_search(spark, f"{tmp_path}/index", pattern, 4)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(rows[i][1:]) for i in want), pattern
