@@ -1,4 +1,4 @@
-"""What moves in the dedup, as one text."""
+"""What moves in the dedup, as one text, and the CSV files' size."""
 
 import random
 from datetime import datetime
@@ -6,6 +6,7 @@ from datetime import datetime
 from conftest import SF_SMALL
 
 from govlens.operators import silver as S
+from govlens.plans import registry
 from govlens.sources import raw as R
 
 
@@ -40,3 +41,16 @@ def test_the_dedup_shuffles_a_path_and_one_text(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         partial = next(x for x in plan.split("\n") if "partial_min" in x)
         assert "struct" not in partial and partial.rsplit("output=", 1)[-1].count(",") <= 1
+
+
+def test_csv_files_are_packed_and_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "ROWS_PER_FILE", 500)
+    path = R.lineitem_csv(spark, SF_SMALL, f"{tmp_path}/csv")
+    files = [f for f in (tmp_path / "csv").rglob("part-*")]
+    rows = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    assert len(files) >= rows / 500 and all(f.name.endswith(".csv.gz") for f in files)
+    assert sum(f.stat().st_size for f in files) < 100 * rows
+    counts = R.csv_row_counts(spark, path).first()
+    assert counts.good_rows + counts.corrupt_rows == rows
+    whole = registry.QUERIES["csv_scan"](spark, SF_SMALL)
+    assert sorted(map(repr, R.read_raw_csv(spark, path).select(*whole.columns).collect())) == sorted(map(repr, whole.collect()))
